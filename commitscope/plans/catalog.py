@@ -1,9 +1,64 @@
 """Every report as a query over the driver's tables, with its SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from commitscope.cluster import ship
+from commitscope.functions import paths as P
+from commitscope.plans import history, oracle
+from commitscope.sources.synthetic import view
+
+AS_OF = oracle.AS_OF
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _on(name: str, report: Callable, **options) -> Query:
+    return lambda spark, sf_dir: report(view(spark, sf_dir, name), **options)
+
+
+def _with_constructs(report: Callable) -> Query:
+    return lambda spark, sf_dir: report(view(spark, sf_dir, "changes_mix"), view(spark, sf_dir, "constructs"))
+
+
+def _filtered(**options) -> Query:
+    return lambda spark, sf_dir: history.time_range(view(spark, sf_dir, "changes_mix"), **options).select("commit_oid", "file_path", "additions", "deletions")
+
+
+def _source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "changes_mix").select("file_path", P.is_source().alias("is_source"), P.module_of().alias("module")).distinct()
+
+
+QUERIES: dict[str, Query] = {
+    "authors": _on("changes_mix", history.authors),
+    "hotspots": _with_constructs(history.hotspots),
+    "churn": _on("changes_mix", history.churn),
+    "ownership": _on("changes_mix", history.ownership),
+    "coupling": _on("changes_basket", history.coupling),
+    "module_coupling": _on("changes_basket", history.module_coupling),
+    "patterns": _on("changes_events", history.patterns),
+    "age": _on("changes_mix", history.age, as_of=AS_OF),
+    "outliers": _on("changes_mix", history.outliers),
+    "quality": _on("changes_mix", history.quality),
+    "construct_churn": _with_constructs(history.construct_churn),
+    "construct_ownership": _with_constructs(history.construct_ownership),
+    "succession": _on("changes_mix", history.succession, as_of=AS_OF),
+    "knowledge_silos": _on("changes_mix", history.knowledge_silos, as_of=AS_OF),
+    "churn_pareto": _on("changes_mix", history.churn_pareto),
+    "commit_velocity": _on("changes_mix", history.commit_velocity),
+    "commit_size": _on("changes_mix", history.commit_size),
+    "time_range_since": _filtered(since_days=365, as_of=AS_OF),
+    "time_range_between": _filtered(start="1998-01-01", end="1998-12-31"),
+    "source_filter": _source_filter,
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.SQL)
