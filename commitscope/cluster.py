@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,11 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, path.relative_to(top.parent))
     context.addPyFile(os.fspath(archive))
     _shipped.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the folder that the session names; a local one is set only where none is."""
+    context = df.sparkSession.sparkContext
+    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="commitscope-"))
+    return df.checkpoint()

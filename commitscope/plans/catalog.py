@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from commitscope.cluster import ship
 from commitscope.functions import paths as P
-from commitscope.plans import history, oracle
+from commitscope.plans import history, oracle, oracle_tree, tree
 from commitscope.sources.synthetic import view
 
 AS_OF = oracle.AS_OF
@@ -32,6 +32,11 @@ def _source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "changes_mix").select("file_path", P.is_source().alias("is_source"), P.module_of().alias("module")).distinct()
 
 
+def _ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = view(spark, sf_dir, "edges")
+    return tree.ancestors(edges, edges.filter("oid % 50 = 49").select("oid"))
+
+
 QUERIES: dict[str, Query] = {
     "authors": _on("changes_mix", history.authors),
     "hotspots": _with_constructs(history.hotspots),
@@ -55,10 +60,34 @@ QUERIES: dict[str, Query] = {
     "source_filter": _source_filter,
 }
 
+QUERIES |= {
+    "composition": _on("head_files", tree.composition),
+    "quick_composition": _on("head_files", tree.quick_composition),
+    "large_sources": _on("head_files", tree.large_sources, least=10),
+    "test_ratio": _on("head_files", tree.test_ratio),
+    "complexity": lambda spark, sf_dir: tree.complexity(view(spark, sf_dir, "head_files")).drop("mi"),
+    "clones": _on("head_files", tree.clones),
+    "constructs_python": _on("head_files", tree.constructs),
+    "doc_coverage": _on("head_files", tree.doc_coverage, least=1),
+    "fan_in_out": _on("head_files", tree.fan_in_out),
+    "dead_code": _on("head_files", tree.dead_code),
+    "debt_markers": _on("head_files", tree.debt_markers),
+    "bloat": lambda spark, sf_dir: tree.bloat(view(spark, sf_dir, "head_files").withColumn("path", F.concat("path", F.lit(".min.css")))),
+    "branches": _on("refs", tree.branches, as_of=AS_OF),
+    "ancestors": _ancestors,
+}
+
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    def shipped(query: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return {**oracle.SQL, **oracle_tree.SQL}
