@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from commitscope.cluster import ship
 from commitscope.functions import paths as P
 from commitscope.plans import history, oracle, oracle_tree, tree
+from commitscope.scoring.health import health, health_sql
 from commitscope.sources.synthetic import view
 
 AS_OF = oracle.AS_OF
@@ -72,12 +73,25 @@ QUERIES |= {
     "fan_in_out": _on("head_files", tree.fan_in_out),
     "dead_code": _on("head_files", tree.dead_code),
     "debt_markers": _on("head_files", tree.debt_markers),
+    "half_life": _on("blame", tree.half_life, as_of=AS_OF),
+    "debt_markers_blamed": lambda spark, sf_dir: tree.debt_markers(view(spark, sf_dir, "head_files"), view(spark, sf_dir, "blame"), AS_OF),
     "bloat": lambda spark, sf_dir: tree.bloat(view(spark, sf_dir, "head_files").withColumn("path", F.concat("path", F.lit(".min.css")))),
     "branches": _on("refs", tree.branches, as_of=AS_OF),
     "ancestors": _ancestors,
 }
 
 
+#: The reports that health is made of, over the views of one made-up repository.
+HEALTH = "quality knowledge_silos succession ownership complexity outliers debt_markers_blamed large_sources bloat composition branches churn churn_pareto coupling fan_in_out module_coupling authors hotspots".split()
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health({n.removesuffix("_blamed"): QUERIES[n](spark, sf_dir) for n in HEALTH})
+
+
+QUERIES["health"] = _health
+
+
 def queries() -> dict[str, Query]:
     def shipped(query: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +104,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.SQL, **oracle_tree.SQL}
+    sql = {**oracle.SQL, **oracle_tree.SQL}
+    return {**sql, "health": health_sql({n.removesuffix("_blamed"): sql[n] for n in HEALTH})}

@@ -41,4 +41,11 @@ SQL = {
  SELECT {_STATUS} AS "group", name, last_commit, d AS days_since, author, merged, is_head, {_STATUS} AS recommendation FROM d""",
     "ancestors": f"""WITH RECURSIVE edges AS (SELECT o_orderkey AS oid, o_orderkey - 1 AS parent FROM orders WHERE o_orderkey > 0 AND o_orderkey % 50 <> 0),
  a(oid) AS (SELECT oid FROM edges WHERE oid % 50 = 49 UNION SELECT parent FROM edges JOIN a USING (oid)) SELECT oid FROM a""",
+    "half_life": f"""{prelude("blame")}, f AS (SELECT DISTINCT path FROM blame WHERE {P.is_source_sql("path")} ORDER BY path LIMIT 50),
+ g AS (SELECT path AS name, CAST(sum(len) AS BIGINT) AS total_lines, CAST(coalesce(sum(len) FILTER (datediff('day', commit_ts, DATE '{AS_OF}') >= 180), 0) AS BIGINT) AS ancient_lines, max(datediff('day', commit_ts, DATE '{AS_OF}')) AS oldest_age_days FROM blame SEMI JOIN f USING (path) GROUP BY 1),
+ p AS (SELECT name, total_lines, ancient_lines, CAST(100 * ancient_lines // total_lines AS BIGINT) AS ancient_pct, oldest_age_days FROM g)
+ SELECT *, CASE WHEN ancient_pct <= 20 THEN 'hot' WHEN ancient_pct <= 50 THEN 'aging' WHEN ancient_pct <= 80 THEN 'stable' ELSE 'core' END AS recommendation FROM p""",
+    "debt_markers_blamed": f"""{prelude("blame")}, m AS (SELECT {_PART} AS path, 6 + 2 * (p_size % 7) AS line, 'dev' || p_size AS owner FROM part WHERE p_size % 4 = 0),
+ a AS (SELECT path || ':' || line AS name, 'TODO' AS marker, datediff('day', commit_ts, DATE '{AS_OF}') AS age_days, author, owner, 'revisit' AS text FROM m JOIN blame USING (path) WHERE line BETWEEN line_start AND line_start + len - 1)
+ SELECT *, CASE WHEN age_days < 30 THEN 'fresh' WHEN age_days < 180 THEN 'aging' WHEN age_days < 365 THEN 'stale' ELSE 'rotten' END AS recommendation FROM a ORDER BY age_days DESC, name LIMIT 200""",
 }

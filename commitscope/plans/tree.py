@@ -169,7 +169,7 @@ def constructs(files: DataFrame) -> DataFrame:
 
 _IMPORT_PY = r"(?m)^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))"
 _IMPORT_JS = r"(?:from|require\()\s*['\"]([^'\"]+)['\"]"
-_IMPORT_RS = r"(?m)^\s*(?:pub\s+)?use\s+((?:crate|self|super)(?:::\w+)+)"
+_IMPORT_RS = r"(?m)^[ \t]*(?:pub\s+)?(?:use\s+((?:crate|self|super)(?:::\w+)+)|mod\s+(\w+)\s*;)"
 IMPORTERS = ("rs", "py", "ts", "tsx", "js", "jsx")
 
 
@@ -187,20 +187,26 @@ def imports(files: DataFrame) -> DataFrame:
     """
     ext = P.extension(F.col("path"))
     rows = _files(files, 200 << 10).filter(ext.isin(*IMPORTERS) & P.is_source("path")).select("path", "content", ext.alias("ext"))
-    py = F.transform(F.arrays_zip(F.regexp_extract_all("content", F.lit(_IMPORT_PY), F.lit(1)).alias("a"), F.regexp_extract_all("content", F.lit(_IMPORT_PY), F.lit(2)).alias("b")), lambda s: F.concat(s["a"], s["b"]))
-    js, rs = F.regexp_extract_all("content", F.lit(_IMPORT_JS), F.lit(1)), F.regexp_extract_all("content", F.lit(_IMPORT_RS), F.lit(1))
+
+    def either(pattern: str) -> Column:
+        """The one of two groups that each match filled."""
+        both = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(k)).alias(c) for k, c in ((1, "a"), (2, "b"))])
+        return F.transform(both, lambda m: F.concat(m["a"], m["b"]))
+
+    py, rs, js = either(_IMPORT_PY), either(_IMPORT_RS), F.regexp_extract_all("content", F.lit(_IMPORT_JS), F.lit(1))
     each = rows.select("path", "ext", F.posexplode(F.when(F.col("ext") == "py", py).when(F.col("ext") == "rs", rs).otherwise(js)).alias("nth", "what"))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    beside = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
     mod = F.replace(F.regexp_replace("what", r"^\.+", ""), F.lit("."), F.lit("/"))
-    near = F.concat(folder, F.lit("/"), mod)
-    python = F.array(F.concat(mod, F.lit(".py")), F.concat(mod, F.lit("/__init__.py")), F.concat(near, F.lit(".py")), F.concat(near, F.lit("/__init__.py")))
+    python = F.array(*[F.concat(F.lit(x), mod, F.lit(y)) for x in ("", "src/") for y in (".py", "/__init__.py")])
     base = _normal(F.concat(folder, F.lit("/"), F.col("what")))
     script = F.when(F.col("what").startswith("."), F.array(*[F.concat(base, F.lit(x)) for x in (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "")])).otherwise(F.array().cast("array<string>"))
     tail = F.slice(F.split("what", "::"), 2, 1 << 30)
-    root = F.when(F.col("what").startswith("crate"), F.lit("src")).when(F.col("what").startswith("super"), F.regexp_extract(folder, "^(.*)/[^/]*$", 1)).otherwise(folder)
-    cut = lambda n: F.concat(root, F.lit("/"), F.array_join(F.slice(tail, F.lit(1), n), "/"))
+    # paths from the crate's root, the longest prefix first; a declared module is a sibling
+    cut = lambda n: F.concat(F.lit("src/"), F.array_join(F.slice(tail, F.lit(1), n), "/"))
     lengths = F.sequence(F.size(tail), F.lit(1))
     rust = F.flatten(F.transform(F.when(F.size(tail) > 0, lengths).otherwise(F.array().cast("array<int>")), lambda n: F.array(F.concat(cut(n), F.lit(".rs")), F.concat(cut(n), F.lit("/mod.rs")))))
+    rust = F.when(F.col("what").contains("::"), rust).otherwise(F.array(F.concat(beside, "what", F.lit(".rs")), F.concat(beside, "what", F.lit("/mod.rs"))))
     tried = each.select("path", "nth", F.posexplode(F.when(F.col("ext") == "py", python).when(F.col("ext") == "rs", rust).otherwise(script)).alias("pos", "target"))
     there = files.select(F.col("path").alias("target")).distinct()
     hit = tried.join(there, "target").groupBy("path", "nth").agg(F.min_by("target", "pos").alias("target"))
@@ -255,9 +261,10 @@ def debt_markers(files: DataFrame, blame: DataFrame | None = None, as_of: str |
 
 
 def half_life(blame: DataFrame, as_of: str, ancient_days: int = 180, cap: int = 50) -> DataFrame:
-    """Share of lines at least ``ancient_days`` old, over the first ``cap`` paths."""
-    first = blame.select("path").distinct().orderBy("path").limit(cap)
-    rows = blame.join(F.broadcast(first), "path", "left_semi").filter(P.is_source("path"))  # ``cap`` rows
+    """Share of lines at least ``ancient_days`` old, over the first ``cap`` paths of source files."""
+    source = blame.filter(P.is_source("path"))
+    first = source.select("path").distinct().orderBy("path").limit(cap)
+    rows = source.join(F.broadcast(first), "path", "left_semi")  # ``cap`` rows
     days = F.datediff(F.lit(as_of), "commit_ts")
     per = rows.groupBy("path").agg(F.sum("len").alias("total_lines"), F.sum(F.when(days >= ancient_days, F.col("len")).otherwise(0)).alias("ancient_lines"), F.max(days).cast("long").alias("oldest_age_days"))
     pct = F.floor(F.lit(100) * F.col("ancient_lines") / F.col("total_lines")).cast("long")

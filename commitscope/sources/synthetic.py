@@ -36,10 +36,13 @@ HEAD_FILES = """SELECT CONCAT('src/', LOWER(p_type), '/m', CAST(p_partkey AS STR
  'def f', CAST(p_size AS STRING), '(a, b):', chr(10), REPEAT(CONCAT('    if a > b:', chr(10), '        a = a - 1', chr(10)), CAST(p_size % 7 AS INT)), '    return a', chr(10),
  CASE WHEN p_size % 4 = 0 THEN CONCAT('# TODO(dev', CAST(p_size AS STRING), '): revisit', chr(10)) ELSE '' END) AS content FROM part"""
 
-VIEWS = {"changes_mix": CHANGES_MIX, "changes_basket": CHANGES_BASKET, "changes_events": CHANGES_EVENTS, "constructs": CONSTRUCTS, "refs": REFS, "edges": EDGES, "head_files": HEAD_FILES}
+BLAME = f"""SELECT CONCAT('src/', LOWER(p_type), '/m', CAST(p_partkey AS STRING), '.py') AS path, CAST(s AS BIGINT) AS line_start, CAST(n AS BIGINT) AS len, CONCAT('dev', CAST(p_partkey % 7 + s AS STRING), '@ex.com') AS author,
+ CAST('2001-08-01' AS DATE) - CAST(p_partkey * s % 900 AS INT) AS commit_ts FROM part CROSS JOIN (SELECT 1 AS s, 3 AS n UNION ALL SELECT 4 AS s, 20 AS n) k"""
+
+VIEWS = {"changes_mix": CHANGES_MIX, "changes_basket": CHANGES_BASKET, "changes_events": CHANGES_EVENTS, "constructs": CONSTRUCTS, "refs": REFS, "edges": EDGES, "head_files": HEAD_FILES, "blame": BLAME}
 _TABLES = {
     "changes_mix": "lineitem orders part", "changes_basket": "lineitem orders part", "changes_events": "events", "constructs": "lineitem orders part",
-    "refs": "customer orders", "edges": "orders", "head_files": "part",
+    "refs": "customer orders", "edges": "orders", "head_files": "part", "blame": "part",
 }
 
 
