@@ -11,12 +11,17 @@ Pairs are never emitted for a list: up to ``SMALL`` members are compared by shif
 breadth-first with vectorised distances, and either way only a spanning forest of links leaves the task. Lists longer
 than ``HOT`` are cut into blocks and every two blocks meet in one task, so that one hot list is shared by many tasks.
 Equal fingerprints are folded before the index, hence a group of exact copies costs one posting per triple.
+
+Four bits of 64 are a similarity of about 0.95. ``near_dedup`` is asked for 0.8 of five-word shingles, where about 15 % of
+the bits differ, so it takes fingerprints of 256 bits: the same index over each quarter's bytes proposes pairs that
+share three positional bytes there, and up to ``WIDE_BITS`` differing bits of 256 verify them. No least number of equal
+bytes is guaranteed at that distance; the README gives the measured recall by similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,9 @@ from commitscope.llm._common import load, private, staged, utf8
 from commitscope.llm._graph import components
 
 BITS, MIN_SHARED, SMALL, HOT, SLOTS = 4, 4, 16, 50_000, 1 << 20
+#: Shingles that are hashed at a time: bounded scratch memory for very long texts.
+BLOCK = 65_536
+WIDE, WIDE_BITS, WIDE_SHARED = ("f0", "f1", "f2", "f3"), 40, 3
 
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 #: Twenty triples of byte positions such that any four positions contain one of them.
@@ -40,23 +48,40 @@ TRIPLES = tuple(
 _FIRST = np.array([next((k for k, t in enumerate(TRIPLES) if all(m >> p & 1 for p in t)), -1) for m in range(256)], np.int64)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Unsigned SimHash of lower-cased (A-Z) word shingles; 0 without words."""
+def _shingles(text: bytes, words: int) -> tuple[Iterator[bytes], int]:
+    """The lower-cased (A-Z) word shingles, repeats included, and their number; fewer words make one shingle."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return iter(()), 0
     joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    starts = ends - np.fromiter(map(len, parts), np.int64, len(parts)) - 1
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1)
     k = min(words, len(parts))
-    spans = map(slice, starts[: len(parts) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist())
     n = len(parts) - k + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(42)), np.uint64, n)
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):  # bounded scratch memory for very long texts
-        chunk = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(chunk, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return map(joined.__getitem__, map(slice, (ends - sizes - 1)[:n].tolist(), (ends[k - 1 :] - 1).tolist())), n
+
+
+def _majority(rows: Iterator[np.ndarray], n: int, bits: int) -> bytes:
+    """Bits set in over half of ``n`` hashes; ``rows``: their bytes, a block at a time."""
+    total = np.zeros(bits, np.int64)
+    for block in rows:
+        total += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n).tobytes()
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """Unsigned 64-bit SimHash over XXH64 (seed 42) of the shingles; 0 without words."""
+    shingles, n = _shingles(text, words)
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(42))
+    rows = (np.fromiter(islice(hashes, BLOCK), np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8) for _ in range(0, n, BLOCK))
+    return int.from_bytes(_majority(rows, n, 64), "big")
+
+
+def wide_fingerprint(text: bytes, words: int) -> bytes:
+    """256-bit SimHash over two XXH3 128-bit hashes of the shingles; zeros without words."""
+    shingles, n = _shingles(text, words)
+    rows = (np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in islice(shingles, BLOCK)), np.uint8).reshape(-1, 32) for _ in range(0, n, BLOCK))
+    return _majority(rows, n, 256)
 
 
 def _fingerprints(words: int, carry: list[str]):
@@ -74,6 +99,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(_fingerprints(words, ["doc_id"]), "doc_id long, fp long")
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``(doc_id, f0, f1, f2, f3)`` for every row: the quarters of a 256-bit fingerprint as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.frombuffer(b"".join(wide_fingerprint(x, words) for x in batch.column("text").to_pylist()), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[:, k].copy()) for k in range(4))], names=["doc_id", *WIDE])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in WIDE))
+
+
 class _Forest:
     """Union-find over fingerprints of one task; keeps only links that join two trees."""
 
@@ -98,34 +135,33 @@ class _Forest:
 
 
 def _close(x: np.ndarray, bits: int, shared: int) -> np.ndarray:
-    """Count filter (equal positional bytes), then the Hamming distance, over XORed fingerprints."""
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    ok = tally >= shared
-    ok[ok] = np.bitwise_count(x[ok]) <= bits
+    """Count filter (equal positional bytes), then the Hamming distance, over XORed fingerprints (rows x quarters)."""
+    ok = (x.view(np.uint8).reshape(len(x), -1) == 0).sum(axis=1) >= shared
+    ok[ok] = np.bitwise_count(x[ok]).sum(axis=1, dtype=np.int64) <= bits
     return ok
 
 
-def _long_list(fp: np.ndarray, bits: int, shared: int) -> Iterator[tuple[int, int]]:
+def _long_list(node: np.ndarray, fp: np.ndarray, bits: int, shared: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of one long list: breadth-first search against the members not reached yet."""
-    rest, queue = fp, []
-    while len(rest):
+    queue: list[tuple[int, np.ndarray]] = []
+    while len(fp):
         if not queue:
-            queue, rest = [rest[0]], rest[1:]
-        at = queue.pop()
-        near = _close(rest ^ at, bits, shared)
+            queue, node, fp = [(int(node[0]), fp[0])], node[1:], fp[1:]
+        at, mine = queue.pop()
+        near = _close(fp ^ mine, bits, shared)
         if near.any():
-            found = rest[near]
-            yield from zip(repeat(int(at)), found.tolist(), strict=False)
-            queue.extend(found)
-            rest = rest[~near]
+            found = node[near].tolist()
+            yield from zip(repeat(at), found)
+            queue.extend(zip(found, fp[near], strict=True))
+            node, fp = node[~near], fp[~near]
 
 
-def links_in_lists(key: np.ndarray, fp: np.ndarray, bits: int = BITS, shared: int = MIN_SHARED) -> Iterator[tuple[int, int]]:
-    """Links inside complete posting lists; rows are sorted by key."""
+def links_in_lists(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = BITS, shared: int = MIN_SHARED) -> Iterator[tuple[int, int]]:
+    """Links inside complete posting lists; rows are sorted by key. ``fp``: rows x quarters."""
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[cut, len(key)])
     few = np.repeat(size <= SMALL, size)
-    triple = (key >> 24) & 31
+    triple = (key >> 24) & 127
     for s in range(1, min(SMALL, len(key))):
         i = np.flatnonzero(few[:-s] & (key[s:] == key[:-s]))
         if not len(i):
@@ -133,90 +169,103 @@ def links_in_lists(key: np.ndarray, fp: np.ndarray, bits: int = BITS, shared: in
         x = fp[i] ^ fp[i + s]
         ok = _close(x, bits, shared)
         i, x = i[ok], x[ok]
-        mask = np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little")[:, 0]
-        i = i[_FIRST[mask] == triple[i]]
-        yield from zip(fp[i].tolist(), fp[i + s].tolist(), strict=True)
+        # of the lists that a pair meets in within a quarter, the first alone gives the link
+        quarter = triple[i] // len(TRIPLES)
+        mask = np.packbits(x[np.arange(len(i)), quarter][:, None].view(np.uint8) == 0, axis=1, bitorder="little")[:, 0]
+        i = i[_FIRST[mask] == triple[i] % len(TRIPLES)]
+        yield from zip(node[i].tolist(), node[i + s].tolist(), strict=True)
     for k in np.flatnonzero(size > SMALL):
-        yield from _long_list(fp[cut[k] : cut[k] + size[k]], bits, shared)
+        span = slice(cut[k], cut[k] + size[k])
+        yield from _long_list(node[span], fp[span], bits, shared)
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = _Forest()
-    keys: list[np.ndarray] = []
-    fps: list[np.ndarray] = []
+def _link(fields: tuple[str, ...], bits: int, shared: int):
+    """Task over postings sorted by unit; the first field names a fingerprint of one field, ``node`` one of more."""
 
-    def flush(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        got = np.array(forest.add(links_in_lists(key, fp)), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            got = np.array(forest.add(links_in_lists(key, node, fp, bits, shared)), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    for batch in batches:
-        k, f = batch.column("unit").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-        if not len(k):
-            continue
-        last = int(np.searchsorted(k, k[-1]))
-        if last or (keys and keys[-1][-1] != k[0]):
-            yield flush(np.concatenate([*keys, k[:last]]), np.concatenate([*fps, f[:last]]))
-            keys, fps = [], []
-        keys.append(k[last:])
-        fps.append(f[last:])
-    if keys:
-        yield flush(np.concatenate(keys), np.concatenate(fps))
+        for batch in batches:
+            k = batch.column("unit").to_numpy()
+            if not len(k):
+                continue
+            f = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in fields], axis=1)
+            n = batch.column("node").to_numpy() if "node" in batch.schema.names else batch.column(fields[0]).to_numpy()
+            last = int(np.searchsorted(k, k[-1]))
+            if last or (held and held[-1][0][-1] != k[0]):
+                held.append((k[:last], n[:last], f[:last]))
+                yield flush(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            held.append((k[last:], n[last:], f[last:]))
+        if held:
+            yield flush(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    keys = [F.lit(k << 24) + byte[a] * 65_536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _postings(fps: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Each row under one key for every quarter and triple of byte positions."""
+    keys = []
+    for q, field in enumerate(fields):
+        byte = [F.shiftrightunsigned(field, 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+        keys += [F.lit((q * len(TRIPLES) + k) << 24) + byte[a] * 65_536 + byte[b] * 256 + byte[c] for k, (a, b, c) in enumerate(TRIPLES)]
+    return fps.select("*", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
 
 
-def link_units(fps: DataFrame, hot: int = HOT) -> DataFrame:
+def link_units(fps: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",)) -> DataFrame:
     """Postings dealt to work units: a list is one unit; a list over ``hot`` is one unit for every two of its blocks.
 
     List lengths are bounded above by counts over ``SLOTS`` hash slots (at most 2^20 rows, a proven bound, so the
     table of hot slots may be broadcast). A slot that only looks hot is cut too, which costs copies but no link.
     """
     slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
-    posted = _postings(fps)
+    posted, carry = _postings(fps, fields), fps.columns
     hot_slots = posted.groupBy(slot.alias("slot")).count().filter(F.col("count") > hot)
     hot_slots = hot_slots.select("slot", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
     dealt = posted.withColumn("slot", slot).join(F.broadcast(hot_slots), "slot", "left")
-    mine = F.pmod(F.xxhash64(F.lit(5), F.col("fp")), F.col("blocks"))
-    dealt = dealt.select("key", "fp", "blocks", mine.alias("mine"))
-    cold = dealt.filter("blocks is null").select(F.col("key").alias("unit"), "fp")
-    split = dealt.filter("blocks is not null").select("key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    mine = F.pmod(F.xxhash64(F.lit(5), *fields), F.col("blocks"))
+    dealt = dealt.select("key", *carry, "blocks", mine.alias("mine"))
+    cold = dealt.filter("blocks is null").select(F.col("key").alias("unit"), *carry)
+    split = dealt.filter("blocks is not null").select("key", *carry, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("mine", "other").cast("long"), F.greatest("mine", "other").cast("long")
-    # bits 0-28: triple and bytes; above: the two blocks plus one, up to 2^17 blocks each
-    unit = F.col("key") + F.shiftleft(low + 1, 29) + F.shiftleft(high + 1, 46)
-    return cold.unionByName(split.select(unit.alias("unit"), "fp"))
+    # bits 0-30: quarter, triple and bytes; above: the two blocks plus one, up to 2^16 blocks each
+    unit = F.col("key") + F.shiftleft(low + 1, 31) + F.shiftleft(high + 1, 47)
+    return cold.unionByName(split.select(unit.alias("unit"), *carry))
 
 
-def near_groups(fp: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(doc_id, fp)`` -> ``(doc_id, fp, component_id)``: the least doc_id reachable over links of at most four bits.
+def near_groups(fp: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",), bits: int = BITS, shared: int = MIN_SHARED) -> DataFrame:
+    """``(doc_id, fields...)`` -> those and ``component_id``: the least doc_id reachable over links of at most ``bits`` bits.
 
     Null ids take part but never name a group unless all its ids are null (then component_id is null). Rows that
     repeat an id each keep their row. An empty table gives no rows.
     """
     fp = staged(fp)
-    each = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    units = link_units(each.select("fp"), hot)
-    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_link, "a long, b long")
-    found = components(edges)
-    named = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    each = fp.groupBy(*fields).agg(F.min("doc_id").alias("least"))
+    each = staged(each.withColumn("node", F.col(fields[0]) if len(fields) == 1 else F.monotonically_increasing_id()))
+    units = link_units(each.select(*fields, *["node"] * (len(fields) > 1)), hot, fields)
+    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_link(fields, bits, shared), "a long, b long")
+    named = each.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = staged(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(label, "fp", "left")
+    label = named.select("root", *fields).join(least, "root").select(*fields, "component_id")
+    return fp.join(label, list(fields), "left")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the least id.
+    """``docs`` with one document of each near-duplicate group (similarity of 0.8 or more): the one with the least id.
 
     All columns pass unchanged. Of rows that repeat the kept id, one stays. A group whose ids are all null keeps one
     of its rows. Empty texts form one group.
     """
     if not docs.columns:
         return docs
-    groups = staged(near_groups(fingerprints(docs, id_col, text_col, words)).select("doc_id", "component_id"))
+    groups = near_groups(wide_fingerprints(docs, id_col, text_col, words), HOT, WIDE, WIDE_BITS, WIDE_SHARED)
+    groups = staged(groups.select("doc_id", "component_id"))
     n, key = private(docs, "copies"), private(docs, "kept_id")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
     on = docs[id_col].cast("long").eqNullSafe(F.col(key))

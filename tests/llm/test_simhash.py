@@ -97,11 +97,35 @@ def test_long_text(spark, documents):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_near_copies_are_one_class_of_five_word_shingles(spark, documents):
+def edited(rng, base, edits):
+    out = list(base)
+    for k in rng.sample(range(0, len(out), 6), edits):
+        out[k] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_near_copies_by_similarity(spark, documents):
     rng = random.Random(5)
-    base = [f"t{rng.randrange(5000)}" for _ in range(400)]
-    copy = list(base)
-    copy[17], copy[200] = "x", "y"
-    other = [f"t{rng.randrange(5000)}" for _ in range(400)]
-    kept = simhash.near_dedup(documents([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(other))]))
-    assert 3 in {r.doc_id for r in kept.collect()}
+    rows, bands = [], {}
+    for k in range(400):
+        base = [f"t{rng.randrange(50_000)}" for _ in range(300)]
+        copy = edited(rng, base, 1 + k % 6)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        bands.setdefault(int(jaccard(base, copy) * 20) / 20, []).append(2 * k + 1)
+    kept = {r.doc_id for r in simhash.near_dedup(documents(rows)).collect()}
+    assert all(2 * k in kept for k in range(400))
+    recall = {b: sum(d not in kept for d in ids) / len(ids) for b, ids in bands.items()}
+    assert all(r >= 0.94 for b, r in recall.items() if b >= 0.9)
+    assert all(r >= 0.8 for b, r in recall.items() if b >= 0.85) and all(r >= 0.5 for r in recall.values())
+
+
+def test_unlike_texts_are_not_near(spark, documents):
+    rng = random.Random(6)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(k, " ".join([*(f"t{rng.randrange(50_000)}" for _ in range(120)), *shared, *(f"t{rng.randrange(50_000)}" for _ in range(120))])) for k in range(300)]
+    assert simhash.near_dedup(documents(rows)).count() == 300
