@@ -136,7 +136,7 @@ class _Forest:
 
 def _close(x: np.ndarray, bits: int, shared: int) -> np.ndarray:
     """Count filter (equal positional bytes), then the Hamming distance, over XORed fingerprints (rows x quarters)."""
-    ok = (x.view(np.uint8).reshape(len(x), -1) == 0).sum(axis=1) >= shared
+    ok = (x.view(np.uint8).reshape(len(x), 8 * x.shape[1]) == 0).sum(axis=1) >= shared
     ok[ok] = np.bitwise_count(x[ok]).sum(axis=1, dtype=np.int64) <= bits
     return ok
 

@@ -129,3 +129,17 @@ def test_unlike_texts_are_not_near(spark, documents):
     shared = [f"s{k}" for k in range(60)]
     rows = [(k, " ".join([*(f"t{rng.randrange(50_000)}" for _ in range(120)), *shared, *(f"t{rng.randrange(50_000)}" for _ in range(120))])) for k in range(300)]
     assert simhash.near_dedup(documents(rows)).count() == 300
+
+
+@pytest.mark.parametrize("fields", [1, 4])
+def test_long_lists_are_searched_to_the_last_member(fields):
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(17, 40))
+        fp = rng.integers(0, 2**63, (n, fields), dtype=np.uint64)
+        for k in range(n // 2):  # pairs of near copies among strangers
+            fp[n - 1 - k] = fp[k]
+            fp[n - 1 - k, 0] ^= np.uint64(5)
+        node = np.arange(n)
+        links = set(map(frozenset, simhash.links_in_lists(np.zeros(n, np.int64), node, fp, 4, 4)))
+        assert links == {frozenset((k, n - 1 - k)) for k in range(n // 2)}
