@@ -12,15 +12,16 @@ breadth-first with vectorised distances, and either way only a spanning forest o
 than ``HOT`` are cut into blocks and every two blocks meet in one task, so that one hot list is shared by many tasks.
 Equal fingerprints are folded before the index, hence a group of exact copies costs one posting per triple.
 
-Four bits of 64 are a similarity of about 0.95. ``near_dedup`` is asked for 0.8 of five-word shingles, where about 15 % of
-the bits differ, so it takes fingerprints of 256 bits: the same index over each quarter's bytes proposes pairs that
-share three positional bytes there, and up to ``WIDE_BITS`` differing bits of 256 verify them. No least number of equal
-bytes is guaranteed at that distance; the README gives the measured recall by similarity.
+Four bits of 64 are a similarity of about 0.95. ``near_dedup`` is asked for a Jaccard similarity of 0.8 of five-word
+shingle sets, at which no number of equal bytes is certain. Its lists are therefore posted under shingle hashes: of a
+set of n hashes in ascending order the first n - ceil(0.8 n) + 1, one of which any two sets of that similarity share.
+A 256-bit SimHash of the set bounds the chains inside lists (80 bits, over five standard deviations above the mean
+distance at 0.8), and the members of each group so proposed are compared by the exact Jaccard similarity of their sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -35,7 +36,10 @@ from commitscope.llm._graph import components
 BITS, MIN_SHARED, SMALL, HOT, SLOTS = 4, 4, 16, 50_000, 1 << 20
 #: Shingles that are hashed at a time: bounded scratch memory for very long texts.
 BLOCK = 65_536
-WIDE, WIDE_BITS, WIDE_SHARED = ("f0", "f1", "f2", "f3"), 40, 3
+WIDE, PROPOSE_BITS = ("f0", "f1", "f2", "f3"), 80
+#: Least similarity of near copies as a fraction, and the bytes of one group's texts that a task compares at a time.
+NEAR, GROUP_BYTES = (4, 5), 32 << 20
+_MIX = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F, 0x78DDE6E5FD29F054], np.uint64)
 
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 #: Twenty triples of byte positions such that any four positions contain one of them.
@@ -77,11 +81,22 @@ def fingerprint(text: bytes, words: int) -> int:
     return int.from_bytes(_majority(rows, n, 64), "big")
 
 
-def wide_fingerprint(text: bytes, words: int) -> bytes:
-    """256-bit SimHash over two XXH3 128-bit hashes of the shingles; zeros without words."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct XXH3 hashes of the shingles, ascending; a text without words has the empty shingle."""
     shingles, n = _shingles(text, words)
-    rows = (np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in islice(shingles, BLOCK)), np.uint8).reshape(-1, 32) for _ in range(0, n, BLOCK))
-    return _majority(rows, n, 256)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles if n else (b"",)), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """256-bit SimHash of a shingle set: each hash is mixed with four seeds."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = x[:, None] + _MIX
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).view(np.uint8)
+
+    return _majority((mixed(hashes[i : i + BLOCK]) for i in range(0, len(hashes), BLOCK)), len(hashes), 256)
 
 
 def _fingerprints(words: int, carry: list[str]):
@@ -99,16 +114,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(_fingerprints(words, ["doc_id"]), "doc_id long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``(doc_id, f0, f1, f2, f3)`` for every row: the quarters of a 256-bit fingerprint as signed longs."""
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``(doc_id, t, node, f0, f1, f2, f3, prefix)`` for every row.
+
+    ``t``: MD5 of the text; ``node``: hash of its shingle set; then the set's 256-bit fingerprint and the hashes it is
+    posted under.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.frombuffer(b"".join(wide_fingerprint(x, words) for x in batch.column("text").to_pylist()), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[:, k].copy()) for k in range(4))], names=["doc_id", *WIDE])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in WIDE))
+            nodes, prints, heads = [], [], []
+            for x in batch.column("text").to_pylist():
+                hashes = shingle_set(x, words)
+                n = len(hashes)
+                nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                prints.append(wide_fingerprint(hashes))
+                heads.append(hashes[: n + 1 - -(-n * NEAR[0] // NEAR[1])].view(np.int64))
+            f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 4)
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            prefix = pa.array(heads, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), node, *(pa.array(f[:, k].copy()) for k in range(4)), prefix], names=["doc_id", "t", "node", *WIDE, "prefix"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(utf8(text_col)).alias("t"), utf8(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, t string, node long, " + ", ".join(f"{f} long" for f in WIDE) + ", prefix array<long>")
 
 
 class _Forest:
@@ -156,8 +184,8 @@ def _long_list(node: np.ndarray, fp: np.ndarray, bits: int, shared: int) -> Iter
             node, fp = node[~near], fp[~near]
 
 
-def links_in_lists(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = BITS, shared: int = MIN_SHARED) -> Iterator[tuple[int, int]]:
-    """Links inside complete posting lists; rows are sorted by key. ``fp``: rows x quarters."""
+def links_in_lists(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = BITS, shared: int = MIN_SHARED, triples: bool = True) -> Iterator[tuple[int, int]]:
+    """Links inside complete posting lists; rows are sorted by key. ``fp``: rows x quarters; ``triples``: keys are of byte triples."""
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[cut, len(key)])
     few = np.repeat(size <= SMALL, size)
@@ -168,18 +196,21 @@ def links_in_lists(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int
             break
         x = fp[i] ^ fp[i + s]
         ok = _close(x, bits, shared)
-        i, x = i[ok], x[ok]
-        # of the lists that a pair meets in within a quarter, the first alone gives the link
-        quarter = triple[i] // len(TRIPLES)
-        mask = np.packbits(x[np.arange(len(i)), quarter][:, None].view(np.uint8) == 0, axis=1, bitorder="little")[:, 0]
-        i = i[_FIRST[mask] == triple[i] % len(TRIPLES)]
+        if triples:
+            i, x = i[ok], x[ok]
+            # of the lists that a pair meets in within a quarter, the first alone gives the link
+            quarter = triple[i] // len(TRIPLES)
+            mask = np.packbits(x[np.arange(len(i)), quarter][:, None].view(np.uint8) == 0, axis=1, bitorder="little")[:, 0]
+            i = i[_FIRST[mask] == triple[i] % len(TRIPLES)]
+        else:
+            i = i[ok]
         yield from zip(node[i].tolist(), node[i + s].tolist(), strict=True)
     for k in np.flatnonzero(size > SMALL):
         span = slice(cut[k], cut[k] + size[k])
         yield from _long_list(node[span], fp[span], bits, shared)
 
 
-def _link(fields: tuple[str, ...], bits: int, shared: int):
+def _link(fields: tuple[str, ...], bits: int, shared: int, triples: bool = True):
     """Task over postings sorted by unit; the first field names a fingerprint of one field, ``node`` one of more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +218,7 @@ def _link(fields: tuple[str, ...], bits: int, shared: int):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            got = np.array(forest.add(links_in_lists(key, node, fp, bits, shared)), np.int64).reshape(-1, 2)
+            got = np.array(forest.add(links_in_lists(key, node, fp, bits, shared, triples)), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -223,8 +254,14 @@ def link_units(fps: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",)
     List lengths are bounded above by counts over ``SLOTS`` hash slots (at most 2^20 rows, a proven bound, so the
     table of hot slots may be broadcast). A slot that only looks hot is cut too, which costs copies but no link.
     """
+    # bits 0-30: quarter, triple and bytes; above: the two blocks plus one, up to 2^16 blocks each
+    return _dealt(_postings(fps, fields), hot, fields, lambda low, high: F.col("key") + F.shiftleft(low + 1, 31) + F.shiftleft(high + 1, 47))
+
+
+def _dealt(posted: DataFrame, hot: int, fields: tuple[str, ...], unit: Callable[[F.Column, F.Column], F.Column]) -> DataFrame:
+    """Work units of ``posted(key, ...)``; ``unit`` names the one of two blocks of a list."""
     slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
-    posted, carry = _postings(fps, fields), fps.columns
+    carry = [c for c in posted.columns if c != "key"]
     hot_slots = posted.groupBy(slot.alias("slot")).count().filter(F.col("count") > hot)
     hot_slots = hot_slots.select("slot", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
     dealt = posted.withColumn("slot", slot).join(F.broadcast(hot_slots), "slot", "left")
@@ -233,9 +270,7 @@ def link_units(fps: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",)
     cold = dealt.filter("blocks is null").select(F.col("key").alias("unit"), *carry)
     split = dealt.filter("blocks is not null").select("key", *carry, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("mine", "other").cast("long"), F.greatest("mine", "other").cast("long")
-    # bits 0-30: quarter, triple and bytes; above: the two blocks plus one, up to 2^16 blocks each
-    unit = F.col("key") + F.shiftleft(low + 1, 31) + F.shiftleft(high + 1, 47)
-    return cold.unionByName(split.select(unit.alias("unit"), *carry))
+    return cold.unionByName(split.select(unit(low, high).alias("unit"), *carry))
 
 
 def near_groups(fp: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",), bits: int = BITS, shared: int = MIN_SHARED) -> DataFrame:
@@ -256,6 +291,95 @@ def near_groups(fp: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",)
     return fp.join(label, list(fields), "left")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by key, without those that are alone under their key."""
+    held: pa.RecordBatch | None = None  # the last row so far, and whether it has a fellow
+    paired = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        if held is not None:
+            meets = held.column("key")[0].as_py() == key[0]
+            if meets or paired:
+                yield held
+            keep[0] |= meets
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        held, paired = batch.slice(batch.num_rows - 1), bool(keep[-1])
+    if paired:
+        yield held
+
+
+def links_of_sets(node: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is at least ``NEAR``: breadth-first search."""
+    size = np.array(list(map(len, sets)), np.int64)
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    mine = np.zeros(int(size.sum()), bool)
+    left, queue = np.arange(len(sets)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        at = queue.pop()
+        mine[ids[at]] = True
+        near = NEAR[1] * np.minimum(size[left], size[at]) >= NEAR[0] * np.maximum(size[left], size[at])
+        can = left[near]
+        common = np.fromiter((np.count_nonzero(mine[ids[k]]) for k in can), np.int64, len(can))
+        mine[ids[at]] = False
+        near[near] = NEAR[1] * common >= NEAR[0] * (size[can] + size[at] - common)
+        for k in left[near].tolist():
+            yield node[at], node[k]
+            queue.append(k)
+        left = left[~near]
+
+
+def _verify(words: int):
+    """Task over the texts of proposed groups, sorted by unit: links of exact similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, node, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            got = np.array(list(links_of_sets(node, sets)) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for u, k, text in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "text")), strict=True):
+                if u != unit:
+                    yield flush()
+                    unit, node, sets = u, [], []
+                node.append(k)
+                sets.append(shingle_set(text, words))
+        yield flush()
+
+    return run
+
+
+def near_links(docs: DataFrame, sets: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most: int = GROUP_BYTES) -> DataFrame:
+    """``(a, b)``: links between nodes of ``sets = shingle_sets(docs)`` that join every two of similarity ``NEAR`` or more."""
+    nodes = staged(sets.select("node", *WIDE, "prefix").dropDuplicates(["node"]))
+    posted = nodes.select(F.explode("prefix").alias("key"), "node").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
+    posted = staged(posted.join(nodes.select("node", *WIDE), "node").select("key", *WIDE, "node"))
+    units = _dealt(posted, hot, WIDE, lambda low, high: F.xxhash64("key", low, high))
+    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_link(WIDE, PROPOSE_BITS, 0, False), "a long, b long")
+    found = staged(components(edges))
+    member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    # one row stands for all of equal sets
+    one = sets.select("node", "t", "doc_id").join(member, "node").groupBy("node", "root").agg(F.min(F.struct("t", "doc_id")).alias("r"))
+    one = one.select("node", "root", F.col("r.t").alias("t"), F.col("r.doc_id").alias("doc_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(utf8(text_col)).alias("t"), utf8(text_col).alias("text"))
+    texts = rows.join(one, (rows["t"] == one["t"]) & rows["id"].eqNullSafe(one["doc_id"])).select("node", "root", "text")
+    texts = staged(texts.dropDuplicates(["node"]))
+    # a group over ``most`` bytes is cut into blocks, and every two blocks meet in one task
+    large = texts.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text")) / most).cast("int").alias("blocks")).filter("blocks > 1")
+    cut = texts.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")))
+    cut = cut.select(unit.alias("unit"), "node", "text").repartition("unit").sortWithinPartitions("unit")
+    return cut.mapInArrow(_verify(words), "a long, b long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group (similarity of 0.8 or more): the one with the least id.
 
@@ -264,12 +388,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not docs.columns:
         return docs
-    groups = near_groups(wide_fingerprints(docs, id_col, text_col, words), HOT, WIDE, WIDE_BITS, WIDE_SHARED)
-    groups = staged(groups.select("doc_id", "component_id"))
+    sets = staged(shingle_sets(docs, id_col, text_col, words))
+    root = components(near_links(docs, sets, HOT, id_col, text_col, words))
+    groups = sets.select("doc_id", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     n, key = private(docs, "copies"), private(docs, "kept_id")
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    least = groups.groupBy("root").agg(F.min("doc_id").alias(key)).select(key).distinct()
+    count = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
+    kept = staged(least.join(count, F.col(key).eqNullSafe(F.col("doc_id"))).select(key, n))
     on = docs[id_col].cast("long").eqNullSafe(F.col(key))
     once = docs.join(kept.filter(F.col(n) == 1).drop(n), on, "left_semi")
+    if not kept.filter(F.col(n) > 1).take(1):
+        return once
     again = docs.join(kept.filter(F.col(n) > 1).drop(n), on, "left_semi").dropDuplicates([id_col])
     return once.unionByName(again)
 

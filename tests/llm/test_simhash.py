@@ -143,3 +143,36 @@ def test_long_lists_are_searched_to_the_last_member(fields):
         node = np.arange(n)
         links = set(map(frozenset, simhash.links_in_lists(np.zeros(n, np.int64), node, fp, 4, 4)))
         assert links == {frozenset((k, n - 1 - k)) for k in range(n // 2)}
+
+
+def test_near_stage_is_brute_force_at_the_asked_similarity(spark, documents):
+    rng = random.Random(8)
+    texts = []
+    for k in range(150):  # copies on both sides of 0.8, some short, some with a repeated passage
+        base = [f"t{rng.randrange(50_000)}" for _ in range(rng.choice((9, 40, 300)))]
+        copy = edited(rng, base, 1 + k % max(1, len(base) // 50))
+        if k % 3 == 0:
+            copy = [*base, *base[:10] * 20, f"y{k}"]
+        texts += [base, copy, copy[: len(copy) * 9 // 10]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert 150 < len({root(i) for i in up}) < 400
+    kept = {r.doc_id for r in simhash.near_dedup(documents([(k, " ".join(w)) for k, w in enumerate(texts)])).collect()}
+    assert kept == {i for i in range(len(texts)) if root(i) == i}
+
+
+@pytest.mark.parametrize("most", [200, 1 << 20])
+def test_large_groups_are_compared_in_blocks(spark, documents, most):
+    base = [f"w{k}" for k in range(60)]
+    docs = documents([(k, " ".join([*base, f"x{k}"])) for k in range(40)] + [(99, "none of the others at all")])
+    links = simhash.near_links(docs, simhash.staged(simhash.shingle_sets(docs)), hot=3, most=most)
+    assert {x for r in links.collect() for x in r} == {r.node for r in simhash.shingle_sets(docs).filter("doc_id < 99").collect()}
