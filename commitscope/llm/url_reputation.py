@@ -3,7 +3,8 @@
 Labelled page outcomes (good or bad) are counted per host. Rates are shrunk along suffix -> registered domain -> host:
 each level's prior is a beta distribution centred on the level above, with a strength fitted to the spread of its
 children by the method of moments (beta-binomial). A page's host is blocked if the lower bound of its posterior rate of
-bad pages (mean minus ``z`` standard deviations) is over ``most``. Hosts without labels take their domain's posterior.
+bad pages (mean minus ``z`` standard deviations) is over ``most``. Hosts without labels take their
+domain's posterior, or else their suffix's, or else that of all labelled pages.
 Labels are counted before any shuffle of pages, so a host with a third of all pages is a few partial sums.
 """
 
@@ -64,13 +65,18 @@ def _shrunk(child: DataFrame, key: str, up: str, mean: str) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """``outcomes(host, bad)`` of labelled pages (bad 0 or 1) -> ``(host, domain, suffix, mean, lower, d_mean, d_lower)``."""
+    """``outcomes(host, bad)`` of labelled pages (bad 0 or 1) -> ``(host, domain, mean, lower, d_mean, d_lower)``."""
+    return _levels(outcomes, z)[0]
+
+
+def _levels(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``reputation``, and the bounds of the levels above: ``(suffix, s_lower)`` and one row ``(all_lower)``."""
     hosts = outcomes.filter("bad is not null").groupBy("host").agg(F.sum(F.col("bad").cast("double")).alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
     hosts = hosts.withColumn("domain", domain("host")).withColumn("suffix", suffix("host"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).withColumn("top", F.lit(1))
-    total = suffixes.groupBy("top").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("all_mean"))
-    s = _shrunk(suffixes.join(total, "top"), "suffix", "top", "all_mean").select("suffix", F.col("post").alias("s_mean"))
+    total = suffixes.groupBy("top").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("all_mean"), (F.sum("n") + 1).alias("all_n"))
+    s = _shrunk(suffixes.join(total, "top"), "suffix", "top", "all_mean").select("suffix", F.col("post").alias("s_mean"), F.col("strength").alias("s_n"))
     d = _shrunk(domains.join(s, "suffix"), "domain", "suffix", "s_mean").select("domain", F.col("post").alias("d_mean"), F.col("strength").alias("d_n"))
     h = _shrunk(hosts.join(d, "domain"), "host", "domain", "d_mean").select("host", F.col("post").alias("mean"), F.col("strength").alias("n"))
 
@@ -78,7 +84,8 @@ def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
         return F.col(m) - z * F.sqrt(F.col(m) * (1 - F.col(m)) / (F.col(n) + 1))
 
     out = h.withColumn("domain", domain("host")).join(d, "domain")
-    return out.select("host", "domain", "mean", lower("mean", "n").alias("lower"), "d_mean", lower("d_mean", "d_n").alias("d_lower"))
+    out = out.select("host", "domain", "mean", lower("mean", "n").alias("lower"), "d_mean", lower("d_mean", "d_n").alias("d_lower"))
+    return out, s.select("suffix", lower("s_mean", "s_n").alias("s_lower")), total.select(lower("all_mean", "all_n").alias("all_lower"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", most: float = MOST) -> DataFrame:
@@ -86,17 +93,20 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "pag
 
     ``outcomes(page_id, bad)`` labels some pages; null labels are ignored, repeated ones each count. Null urls and urls
     without ``://`` have empty host and path, fit no rule and are allowed unless their (empty) host is blocked. Hosts
-    under a domain without labels are allowed (lower is null). An empty table gives no rows.
+    under a domain without labels take the bound of their suffix, under a suffix without labels that of all labelled
+    pages; with no labels at all they are allowed. An empty table gives no rows.
     """
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("u"))
     slim = slim.select("page_id", host("u").alias("host"), path("u").alias("path"))
     labelled = slim.join(outcomes.select(F.col("page_id").alias("id"), "bad"), F.col("page_id") == F.col("id"))
-    known = reputation(labelled.select("host", "bad"))
+    known, by_suffix, overall = _levels(labelled.select("host", "bad"))
     by_domain = known.groupBy("domain").agg(F.max("d_lower").alias("d_lower"))
     name, verdict = rule_columns(rules)
     # one row a host: the host join is against pre-aggregated pages, so it does not follow a hot host
-    hosts = slim.select("host").distinct().withColumn("domain", domain("host"))
-    bounds = hosts.join(known.select("host", "lower"), "host", "left").join(by_domain, "domain", "left").select("host", F.coalesce("lower", "d_lower").alias("lower"))
+    hosts = slim.select("host").distinct().withColumn("domain", domain("host")).withColumn("suffix", suffix("host"))
+    bounds = hosts.join(known.select("host", "lower"), "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left")
+    bounds = bounds.join(F.broadcast(overall), F.col("host") != "", "left")  # overall: at most one row
+    bounds = bounds.select("host", F.coalesce("lower", "d_lower", "s_lower", "all_lower").alias("lower"))
     own = F.when(F.coalesce(F.col("lower"), F.lit(0.0)) > most, F.lit("block")).otherwise(F.lit("allow"))
     return slim.join(bounds, "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 

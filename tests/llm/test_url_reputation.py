@@ -54,3 +54,14 @@ def test_suffixes(spark):
     rows = [("a.b.co.uk", "b.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("x.example.com", "example.com", "com"), ("localhost", "localhost", "localhost"), ("", "", "")]
     df = spark.createDataFrame([(h,) for h, _, _ in rows], "host string")
     assert [(r[0], r[1], r[2]) for r in df.select("host", u.domain("host"), u.suffix("host")).collect()] == rows
+
+
+def test_unlabelled_domains_take_their_suffix(pages, labels):
+    urls = [f"http://h.d{d}.{s}/{k}" for s in ("bad", "fine") for d in range(20) for k in range(10)]
+    outcomes = [(k, int(".bad/" in x)) for k, x in enumerate(urls)]
+    urls += ["http://new.other.bad/", "http://new.other.fine/", "http://new.other.unseen/"]
+    got = {r.host: r.verdict for r in u.judge(pages(urls), labels(outcomes)).collect()}
+    assert [got[f"new.other.{s}"] for s in ("bad", "fine", "unseen")] == ["block", "allow", "allow"]
+    mostly = [(k, 1) for k, _ in outcomes[:200]]
+    got = {r.host: r.verdict for r in u.judge(pages([*urls, "no scheme"]), labels(mostly)).collect()}
+    assert got["new.other.unseen"] == "block" and got[""] == "allow"
