@@ -5,7 +5,7 @@ address prefix of ``fine`` bits; the sums of every shorter prefix follow from th
 only while it is over the limit, so a shard's depth is the least one whose prefix holds at most ``limit`` bytes.
 Prefixes that are still over the limit at ``fine`` bits are few and are refined alone, ``STEP`` bits a round. Rows that
 agree in all 60 bits are copies of one row: they share an address, are told apart by a row ordinal's hash in a second
-address word, and split on that.
+address word, and split on that in the same way until every shard fits or is one row.
 """
 
 from __future__ import annotations
@@ -24,34 +24,36 @@ def address(id_col: str, text_col: str) -> F.Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def directory(rows: DataFrame, limit: int, bits: int = ADDRESS_BITS) -> DataFrame:
+def directory(rows: DataFrame, limit: int, bits: int = ADDRESS_BITS, own: tuple[str, ...] = ()) -> DataFrame:
     """``rows(addr, size)`` -> leaves ``(depth, prefix, shard_bytes, shard_rows)`` covering every row.
 
+    ``own``: more columns of rows and leaves; rows of different values have directories of their own.
+
     A leaf over the limit at full depth is a single over-long row, or rows of one address.
     """
     leaves, at = None, 0
-    part = rows.select("addr", "size")
+    part = rows.select(*own, "addr", "size")
     while at < bits:
         to = min(bits, at + STEP)
-        fine = part.groupBy(F.shiftright("addr", bits - to).alias("p")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
-        levels = fine.select(F.explode(F.sequence(F.lit(at), F.lit(to))).alias("depth"), "p", "b", "n")
+        fine = part.groupBy(*own, F.shiftright("addr", bits - to).alias("p")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+        levels = fine.select(*own, F.explode(F.sequence(F.lit(at), F.lit(to))).alias("depth"), "p", "b", "n")
         levels = levels.withColumn("prefix", F.expr(f"shiftright(p, {to} - depth)"))
-        sums = staged(levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")))
+        sums = staged(levels.groupBy(*own, "depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")))
         over = sums.filter((F.col("shard_bytes") > limit) & ((F.col("shard_rows") > 1) | (F.col("depth") < at)))
-        parents = over.select((F.col("depth") + 1).alias("depth"), "prefix")
+        parents = over.select(*own, (F.col("depth") + 1).alias("depth"), "prefix")
         # a leaf fits and its parent does not; the topmost prefixes of a round have a parent that is known not to fit
-        fits = sums.join(over.select("depth", "prefix"), ["depth", "prefix"], "left_anti").withColumn("up", F.shiftright("prefix", 1))
+        fits = sums.join(over.select(*own, "depth", "prefix"), [*own, "depth", "prefix"], "left_anti").withColumn("up", F.shiftright("prefix", 1))
         parents = parents.withColumnRenamed("prefix", "up")
-        new = fits.filter(F.col("depth") > at).join(parents, ["depth", "up"], "left_semi").select("depth", "prefix", "shard_bytes", "shard_rows")
+        new = fits.filter(F.col("depth") > at).join(parents, [*own, "depth", "up"], "left_semi").select(*own, "depth", "prefix", "shard_bytes", "shard_rows")
         if at == 0:
-            new = new.unionByName(fits.filter("depth = 0").select("depth", "prefix", "shard_bytes", "shard_rows"))
+            new = new.unionByName(fits.filter("depth = 0").select(*own, "depth", "prefix", "shard_bytes", "shard_rows"))
         last = over.filter(F.col("depth") == to)
         leaves = new if leaves is None else leaves.unionByName(new)
         if to == bits:
-            return leaves.unionByName(last.select("depth", "prefix", "shard_bytes", "shard_rows"))
+            return leaves.unionByName(last.select(*own, "depth", "prefix", "shard_bytes", "shard_rows"))
         if not last.take(1):
             return leaves
-        part = part.join(last.select(F.col("prefix").alias("top")), F.shiftright("addr", bits - to) == F.col("top"), "left_semi")
+        part = part.withColumn("top", F.shiftright("addr", bits - to)).join(last.select(*own, F.col("prefix").alias("top")), [*own, "top"], "left_semi")
         at = to
     return leaves
 
@@ -71,34 +73,34 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     slim = staged(slim)
     first = staged(directory(slim.select("addr", F.col("n_bytes").alias("size")), limit))
     whole = first.filter((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
-    found = _assign(slim, whole, "addr", "")
+    found = _assign(slim, whole, "addr")
     # rows that repeat one address: split on the ordinal's bits below the full prefix
     tied = first.filter((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)).select(F.col("prefix").alias("addr"))
     if tied.take(1):
         copies = staged(slim.join(tied, "addr", "left_semi"))
-        per = staged(copies.groupBy("addr").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("one")))
-        # copies of a row have one size: 2^k sub-buckets by ordinal bits, then overflow is split again on the next bits
-        parts = copies.join(per, "addr").withColumn("k", F.least(F.lit(30), F.greatest(F.lit(1), F.ceil(F.log2(F.col("b") / limit)) + 2)).cast("int"))
-        parts = parts.withColumn("sub", F.expr("shiftright(ordinal, 60 - k)"))
-        w = parts.groupBy("addr", "sub").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
-        name = F.concat(F.lpad(F.bin("addr"), ADDRESS_BITS, "0"), F.lit("+"), F.lpad(F.bin("sub"), 30, "0"))
-        split = parts.join(w, ["addr", "sub"]).select(
-            "doc_id", "n_bytes", name.alias("shard_id"), (F.lit(ADDRESS_BITS) + F.col("k")).cast("int").alias("depth"), "shard_bytes", "shard_docs"
-        )
+        copies = copies.withColumnRenamed("addr", "own")
+        leaves = staged(directory(copies.select("own", F.col("ordinal").alias("addr"), F.col("n_bytes").alias("size")), limit, own=("own",)))
+        split = _assign(copies, leaves, "ordinal", ("own",))
         found = found.unionByName(split)
     return found
 
 
-def _assign(rows: DataFrame, leaves: DataFrame, addr: str, head: str) -> DataFrame:
-    """Joins each row with its leaf: one equi-join on (depth, prefix) over the depths that occur."""
+def _assign(rows: DataFrame, leaves: DataFrame, addr: str, own: tuple[str, ...] = ()) -> DataFrame:
+    """Joins each row with its leaf: one equi-join on (depth, prefix) over the depths that occur.
+
+    With ``own``, the leaves lie below the full address of that name.
+    """
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most 61 numbers
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    tagged = leaves.select("depth", "prefix", F.concat(F.lit(head), name).alias("shard_id"), "shard_bytes", F.col("shard_rows").alias("shard_docs"))
+    if own:
+        name = F.concat(F.lpad(F.bin(own[0]), ADDRESS_BITS, "0"), F.lit("+"), name)
+    tagged = leaves.select(*own, "depth", "prefix", name.alias("shard_id"), "shard_bytes", F.col("shard_rows").alias("shard_docs"))
     if not depths:
         return rows.limit(0).select("doc_id", "n_bytes", F.lit("").alias("shard_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"))
-    each = rows.select("doc_id", "n_bytes", addr, F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth"))
+    each = rows.select("doc_id", "n_bytes", *own, addr, F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth"))
     each = each.withColumn("prefix", F.expr(f"shiftright({addr}, {ADDRESS_BITS} - depth)"))
-    return each.join(tagged, ["depth", "prefix"]).select("doc_id", "n_bytes", "shard_id", "depth", "shard_bytes", "shard_docs")
+    depth = F.col("depth") + (ADDRESS_BITS if own else 0)
+    return each.join(tagged, [*own, "depth", "prefix"]).select("doc_id", "n_bytes", "shard_id", depth.alias("depth"), "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -46,3 +46,10 @@ def test_written_shards(spark, documents, tmp_path):
     sharding.write_shards(documents([(k, "x" * 100) for k in range(200)]), f"{tmp_path}/out", 3_000)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 200 and back.select("shard_id").distinct().count() > 5
+
+
+def test_large_copies_split_until_each_shard_fits(spark, documents):
+    docs = documents([(1, "y" * 3000)] * 64 + [(2, "z" * 3000)] * 9 + [(3, "w")])
+    found = sharding.shard(docs, 4_000).collect()
+    assert len(found) == 74
+    check(found, 4_000)
