@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitscope.llm._common import load, staged
+from commitscope.llm._common import load, private, staged
 
 ADDRESS_BITS, STEP, LIMIT = 60, 12, 4 << 20
 
@@ -58,17 +58,18 @@ def directory(rows: DataFrame, limit: int, bits: int = ADDRESS_BITS, own: tuple[
     return leaves
 
 
-def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs)``, one row for every row of ``docs``.
 
     ``shard_id`` is the binary prefix of the leaf. ``n_bytes`` is the text's UTF-8 length (null: 0). Every shard holds
     at most ``limit`` bytes unless it is a single longer row. Copies of one row may be dealt to several shards. An
-    empty table gives no rows.
+    empty table gives no rows. ``row_col`` of ``docs`` is carried as ``row``.
     """
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
         address(id_col, text_col).alias("addr"),
+        *([F.col(row_col).alias("row")] if row_col else []),
     ).withColumn("ordinal", F.conv(F.substring(F.md5(F.monotonically_increasing_id().cast("string")), 1, 15), 16, 10).cast("long"))
     slim = staged(slim)
     first = staged(directory(slim.select("addr", F.col("n_bytes").alias("size")), limit))
@@ -90,23 +91,26 @@ def _assign(rows: DataFrame, leaves: DataFrame, addr: str, own: tuple[str, ...]
 
     With ``own``, the leaves lie below the full address of that name.
     """
+    carry = ["doc_id", "n_bytes", *(c for c in rows.columns if c == "row")]
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most 61 numbers
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
     if own:
         name = F.concat(F.lpad(F.bin(own[0]), ADDRESS_BITS, "0"), F.lit("+"), name)
     tagged = leaves.select(*own, "depth", "prefix", name.alias("shard_id"), "shard_bytes", F.col("shard_rows").alias("shard_docs"))
     if not depths:
-        return rows.limit(0).select("doc_id", "n_bytes", F.lit("").alias("shard_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"))
-    each = rows.select("doc_id", "n_bytes", *own, addr, F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth"))
+        return rows.limit(0).select(*carry, F.lit("").alias("shard_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"))
+    each = rows.select(*carry, *own, addr, F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth"))
     each = each.withColumn("prefix", F.expr(f"shiftright({addr}, {ADDRESS_BITS} - depth)"))
     depth = F.col("depth") + (ADDRESS_BITS if own else 0)
-    return each.join(tagged, [*own, "depth", "prefix"]).select("doc_id", "n_bytes", "shard_id", depth.alias("depth"), "shard_bytes", "shard_docs")
+    return each.join(tagged, [*own, "depth", "prefix"]).select(*carry, "shard_id", depth.alias("depth"), "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` under ``path`` with one folder a shard (``shard_id=...``); ids must be unique."""
-    dealt = shard(docs, limit, id_col, text_col).select(F.col("doc_id").alias(id_col), F.concat(F.lit("b"), "shard_id").alias("shard_id"))
-    docs.join(dealt, id_col).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Writes ``docs`` under ``path`` with one folder a shard (``shard_id=...``); each row once, whatever its id."""
+    row = private(docs, "shard_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    dealt = shard(rows, limit, id_col, text_col, row).select(F.col("row").alias(row), F.concat(F.lit("b"), "shard_id").alias("shard_id"))
+    rows.join(dealt, row).drop(row).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

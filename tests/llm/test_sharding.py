@@ -53,3 +53,10 @@ def test_large_copies_split_until_each_shard_fits(spark, documents):
     found = sharding.shard(docs, 4_000).collect()
     assert len(found) == 74
     check(found, 4_000)
+
+
+def test_each_row_is_written_once(spark, documents, tmp_path):
+    rows = [(None, "n" * 100)] * 3 + [(7, "a" * 100), (7, "a" * 100), (7, "b" * 100)] + [(k, "x" * 100) for k in range(10, 40)]
+    sharding.write_shards(documents(rows), f"{tmp_path}/out", 600)
+    back = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(back, key=str) == sorted(rows, key=str)
