@@ -1,10 +1,11 @@
 """Exact de-duplication by content-defined chunk recipes. DataFrame functions only.
 
 A text without white space is cut after content-defined marks (a pair of characters from fixed classes) into chunks of
-``LEAST`` to ``MOST`` characters, so equal passages give equal chunks wherever they stand. Chunks are deduplicated by
-content: distinct (identifier, chunk) pairs are formed with map-side combination, and an identifier that names two
-different chunks is marked; such chunks are named by their SHA-256 instead. A document is then its recipe, the ordered
-list of verified identifiers (8 bytes for about a kilobyte of text), and only recipes are compared and moved.
+``LEAST`` to ``MOST`` characters, so equal passages give equal chunks wherever they stand. One pass over the texts names
+each chunk by a 64-bit identifier and a 128-bit check. Chunks are deduplicated by content: identifiers are counted with
+map-side combination, and one that stands for chunks of different checks is not verified; it is then replaced in the
+recipes by the check. A document is its recipe, the ordered list of verified identifiers (8 bytes for some hundred
+characters); only recipes are compared and moved, and every row finds its group by its recipe. Texts never move.
 """
 
 from __future__ import annotations
@@ -31,17 +32,27 @@ def _identifier(chunk: F.Column) -> F.Column:
     return F.xxhash64(chunk)
 
 
+def _check(chunk: F.Column) -> F.Column:
+    return F.unhex(F.md5(chunk.cast("binary")))
+
+
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_points, text_sha256, ids, alt)``: recipe ``ids``; ``alt`` is not null where an identifier was not unique."""
+    """``(doc_id, n_points, text_sha256, ids, checks)``: recipe ``ids``; ``checks`` is not null where an identifier was not verified."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     slim = slim.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_points"), squeezed("text").alias("norm"))
     cut = F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0))
-    made = staged(slim.select("doc_id", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform(cut, _identifier).alias("ids")))
-    chunks = slim.select(F.explode(cut).alias("chunk")).select(_identifier(F.col("chunk")).alias("id"), "chunk").distinct()
-    clash = staged(chunks.groupBy("id").count().filter("count > 1").select("id"))
-    # a recipe with an ambiguous identifier is told apart by its content hash as well
-    unsure = made.select("text_sha256", F.explode("ids").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct()
-    return made.join(unsure.withColumn("alt", F.col("text_sha256")), "text_sha256", "left")
+    named = F.transform(cut, lambda c: F.struct(_identifier(c).alias("id"), _check(c).alias("check")))
+    made = staged(slim.select("doc_id", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), named.alias("chunks")))
+    each = made.select(F.explode("chunks").alias("c")).select("c.id", "c.check")
+    spread = each.groupBy("id").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    clash = staged(spread.filter("low <> high").select("id"))
+    ids = F.col("chunks.id").alias("ids")
+    if not clash.take(1):
+        return made.select("doc_id", "n_points", "text_sha256", ids, F.lit(None).cast("array<binary>").alias("checks"))
+    # a recipe with an identifier that is not verified is told apart by the checks of its chunks as well
+    unsure = made.select("text_sha256", F.explode("chunks.id").alias("id")).join(clash, "id", "left_semi").select("text_sha256").distinct()
+    marked = made.join(unsure.withColumn("unsure", F.lit(True)), "text_sha256", "left")
+    return staged(marked.select("doc_id", "n_points", "text_sha256", ids, F.when(F.col("unsure"), F.col("chunks.check")).alias("checks")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,9 +64,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     made = recipes(docs, id_col, text_col)
     order = F.struct(F.col("n_points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"))
-    group = made.groupBy("ids", "alt").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("text_sha256"))
-    group = group.select("text_sha256", (-F.col("best.low")).alias("keep_id"), F.col("best.n_points").alias("keep_points"), "group_size")
-    rows = made.select("doc_id", "n_points", "text_sha256").join(group, "text_sha256")
+    # counted per task first, so a group of any size is a few rows
+    group = made.groupBy("ids", "checks").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # staged: the join then has plain shuffles on both sides, and rows of one recipe can be split by AQE
+    group = staged(group.select("ids", "checks", (-F.col("best.low")).alias("keep_id"), F.col("best.n_points").alias("keep_points"), "group_size"))
+    rows = made.alias("r").join(group.alias("g"), (F.col("r.ids") == F.col("g.ids")) & F.col("r.checks").eqNullSafe(F.col("g.checks")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
     return rows.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 

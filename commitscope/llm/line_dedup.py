@@ -1,92 +1,170 @@
 """Line de-duplication by suffix ranks over line-ID sequences.
 
 Documents are sequences of line IDs (hashes of trimmed lines; blank lines are no part of the sequence). A run of
-consecutive lines of at least ``MIN_WORDS`` words that also occurs earlier (order: doc_id, row, line) is a later copy,
+consecutive lines of at least ``min_words`` words that also occurs earlier (order: doc_id, row, line) is a later copy,
 and its lines are deleted.
 
-Distributed prefix doubling ranks suffixes by their first 1, 2, 4, ... lines. The rank of a suffix at depth 2^k is the
-earliest position of its class, that is of the longest-common-prefix interval of that depth it lies in, so a class
-needs no global sort, and a rank below the own position says that the run occurs earlier. The doubling stops at the
-depth that decides: every line of a maximal repeated run with at least MIN_WORDS words lies in a sub-run that is
-minimal (forwards from its first line or backwards from its last) with as many words, and such sub-runs have at most
-MIN_WORDS lines. A sub-run of any length m is named by two overlapping ranks of depth 2^floor(log2 m).
-
-Lines that occur once are dropped before the doubling; suffixes leave it as soon as their class is their own.
+Distributed prefix doubling ranks suffixes by their first 1, 2, 4, ... lines: a rank at depth 2^(k+1) is the number of a
+class of equal pairs (rank at depth 2^k here, rank at depth 2^k two to the k lines on), that is of the
+longest-common-prefix interval of that depth. Numbers name the intervals and are not in the order of the lines, which
+nothing here asks for; an interval also keeps its earliest suffix, and a suffix that is not the earliest of its interval
+begins a later copy of 2^k lines. The doubling goes on until every suffix is alone in its interval or has been compared
+to its document's end, so it takes log2 of the longest repeated run rounds.
+
+Maximal repeated runs are unions of intervals: all sub-runs of a run that occurs earlier occur earlier, so a run of m
+lines is the union of the later copies of 2^floor(log2 m) lines in it. Where such an interval has fewer than
+``min_words`` words, its words do not decide: runs of up to ``min_words`` lines are also named exactly, by two overlapping
+ranks, and every longer run has as many words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commitscope.llm._common import load, private, staged
 
 MIN_WORDS = 5
-_TRIM = "[\\x20\\x09-\\x0D]+"
+_SPACE = b" \t\n\x0b\x0c\r"
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    names = ["doc_id", "row", "at", "line", "a", "b", "words"]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+            parts = [(k, t) for k, x in enumerate(text.split(b"\n")) if (t := x.strip(_SPACE))]
+            digests = b"".join(xxhash.xxh3_128_digest(t) for _, t in parts)
+            halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            n = len(parts)
+            values = ([doc] * n, [row] * n, range(n), [k for k, _ in parts], halves[:, 0].tolist(), halves[:, 1].tolist(), [len(t.split()) for _, t in parts])
+            for column, value in zip(out, values, strict=True):
+                column.extend(value)
+            if len(out[0]) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                out = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+
+def lines(rows: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, row, at, line, a, b, words)``: non-blank lines, ``at`` counted over them, ``line`` over all lines.
+
+    ``a, b`` are 128 bits of hash of the trimmed line; ``words`` is the number of its words. ``row_col`` names rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    slim = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("row"), text)
+    return slim.mapInArrow(_lines, "doc_id long, row long, at int, line int, a long, b long, words int")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, row, line, a, b, words)``: non-blank lines, ``line`` counted from 0 over all lines.
+def _classes(keyed: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, rank, first, n)`` of the keys that stand on several rows: a number, the earliest place, the rows.
 
-    ``a, b`` are 128 bits of hash of the trimmed line; ``words`` is the number of its words.
+    Written out, so that rows join it by plain shuffles on both sides and a key with very many rows can be split by AQE.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(F.col(text_col).cast("string"), "\n").alias("all"))
-    each = slim.select("doc_id", "row", F.posexplode("all").alias("line", "raw"))
-    each = each.select("doc_id", "row", "line", F.regexp_replace("raw", f"^{_TRIM}|{_TRIM}$", "").alias("t")).filter("t <> ''")
-    words = F.size(F.split("t", _TRIM))
-    return each.select("doc_id", "row", "line", F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), F.col("t")).alias("b"), words.alias("words"))
+    found = keyed.groupBy(*keys).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return staged(found.withColumn("rank", F.monotonically_increasing_id()))
 
 
-def later_copies(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(row, line)`` of the lines to delete, from the rows of ``lines()`` (staged: it is read several times)."""
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("d"), "row", "line")
-    total = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # neighbours are looked up among all non-blank lines of a document, so blank lines do not break a run
-    order = Window.partitionBy("row").orderBy("line")
-    numbered = found.withColumn("at", F.row_number().over(order))
-    active = staged(numbered.join(total, ["a", "b"]).select("row", "line", "at", "words", place.alias("pos"), F.col("first").alias("rank0")))
-    levels = max(0, min_words.bit_length() - 1)
-    ranked = active
-    for k in range(levels):
-        step, old, new = 1 << k, f"rank{k}", f"rank{k + 1}"
-        by_place = Window.partitionBy("row").orderBy("at").rangeBetween(step, step)
-        pairs = staged(ranked.withColumn("next", F.first(old).over(by_place)))
-        # a class of depth 2^(k+1) is a pair of ranks; its rank is its earliest position; classes of one suffix end here
-        classes = pairs.filter("next is not null").groupBy(old, "next").agg(F.min("pos").alias(new), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        ranked = pairs.join(classes, [old, "next"], "left").drop("next")
-    ranked = staged(ranked)
-
-    # sub-runs: from each line the least number m of consecutive active lines with min_words words, both directions
-    def extents(sign: int):
-        total_words, length = F.lit(0), F.lit(None).cast("int")
-        for m in range(1, min_words + 1):
-            w = Window.partitionBy("row").orderBy("at").rangeBetween(*sorted((0, sign * (m - 1))))
-            words, have = F.sum("words").over(w), F.count(F.lit(1)).over(w)
-            length = F.when(length.isNull() & (words >= min_words) & (have == m), F.lit(m)).otherwise(length) if m > 1 else F.when(words >= min_words, F.lit(1))
-        return length
-
-    sized = staged(ranked.withColumn("ahead", extents(1)).withColumn("behind", extents(-1)))
-    forward = sized.filter("ahead is not null").select("row", "at", F.col("ahead").alias("m"))
+def intervals(found: DataFrame, deepest: int | None = None) -> list[DataFrame]:
+    """Depth by depth (1, 2, 4, ... lines), the suffixes ``(row, at, words, pos, rank, first)`` that share an interval.
+
+    ``first``: the earliest suffix of the interval ``rank``. ``found``: rows of ``lines()``, staged. Only lines that
+    occur more than once take part, only suffixes of the last depth's intervals enter the next one, and the doubling
+    ends when none is left (or at ``deepest``).
+    """
+    pos = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("d"), "row", "at")
+    classes = _classes(found.select("a", "b", pos.alias("pos")), "a", "b")
+    out = [staged(found.join(classes, ["a", "b"]).select("row", "at", "line", "words", pos.alias("pos"), "rank", "first"))]
+    step = 1
+    while (deepest is None or 2 * step <= deepest) and out[-1].take(1):
+        on = Window.partitionBy("row").orderBy("at").rangeBetween(step, step)
+        # a suffix whose fellow ``step`` lines on is alone in its interval, or beyond the end, is alone from here on
+        pairs = staged(out[-1].withColumn("next", F.first("rank").over(on)).filter("next is not null").drop("first"))
+        if not pairs.take(1):
+            break
+        classes = _classes(pairs.withColumnRenamed("rank", "one"), "one", "next")
+        joined = pairs.withColumnRenamed("rank", "one").join(classes, ["one", "next"])
+        out.append(staged(joined.select("row", "at", "line", "words", "pos", "rank", "first")))
+        step *= 2
+    return out if len(out) == 1 or out[-1].take(1) else out[:-1]
+
+
+def _short(levels: list[DataFrame], min_words: int) -> DataFrame:
+    """``(row, at, m)``: later copies of runs of m lines, the least m from or up to a line that has ``min_words`` words."""
+    depth = len(levels) - 1
+    keys = ["row", "at"]
+    named = levels[0].select(*keys, "words", "pos", F.col("rank").alias("rank0"))
+    for k, level in enumerate(levels[1:], 1):
+        named = named.join(level.select(*keys, F.col("rank").alias(f"rank{k}")), keys, "left")
+
+    def extents(sign: int) -> F.Column:
+        over = [Window.partitionBy("row").orderBy("at").rangeBetween(*sorted((0, sign * (m - 1)))) for m in range(1, min_words + 1)]
+        enough = ((F.sum("words").over(w) >= min_words) & (F.count(F.lit(1)).over(w) == m) for m, w in enumerate(over, 1))
+        return F.coalesce(*(F.when(x, F.lit(m)) for m, x in enumerate(enough, 1)))
+
+    sized = staged(named.withColumn("ahead", extents(1)).withColumn("behind", extents(-1)))
+    forward = sized.filter("ahead is not null").select(*keys, F.col("ahead").alias("m"))
     backward = sized.filter("behind > 1").select("row", (F.col("at") - F.col("behind") + 1).alias("at"), F.col("behind").alias("m"))
     runs = forward.unionByName(backward).distinct()
-    depth = reduce(lambda out, k: F.when(F.col("m") >= 1 << k, F.lit(k)).otherwise(out), range(1, levels + 1), F.lit(0))
-    runs = runs.withColumn("k", depth).withColumn("tail", F.col("at") + F.col("m") - F.expr("shiftleft(1, k)"))
+    k = reduce(lambda out, k: F.when(F.col("m") >= 1 << k, F.lit(k)).otherwise(out), range(1, depth + 1), F.lit(0))
+    runs = runs.withColumn("k", k).filter("m < shiftleft(2, k)").withColumn("tail", F.col("at") + F.col("m") - F.expr("shiftleft(1, k)"))
 
-    def rank(side: str) -> F.Column:
-        return reduce(lambda out, k: F.when(F.col("k") == k, F.col(f"{side}.rank{k}")).otherwise(out), range(1, levels + 1), F.col(f"{side}.rank0"))
+    def rank() -> F.Column:
+        return reduce(lambda out, k: F.when(F.col("k") == k, F.col(f"rank{k}")).otherwise(out), range(1, depth + 1), F.col("rank0"))
 
-    names = sized.select("row", "at", "pos", *(f"rank{k}" for k in range(levels + 1)))
-    head = runs.alias("r").join(names.alias("h"), (F.col("r.row") == F.col("h.row")) & (F.col("r.at") == F.col("h.at")))
-    head = head.select("r.row", "r.at", "m", "k", "tail", F.col("h.pos").alias("pos"), rank("h").alias("head_rank"))
-    named = head.alias("r").join(names.alias("t"), (F.col("r.row") == F.col("t.row")) & (F.col("r.tail") == F.col("t.at")))
-    named = named.select("r.row", "r.at", "m", "r.pos", "head_rank", rank("t").alias("tail_rank")).filter("head_rank is not null and tail_rank is not null")
-    named = staged(named)
-    earliest = named.groupBy("m", "head_rank", "tail_rank").agg(F.min("pos").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copied = named.join(earliest, ["m", "head_rank", "tail_rank"]).filter("source < pos")
-    covered = copied.select("row", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")).distinct()
-    return covered.join(active.select("row", "at", "line"), ["row", "at"]).select("row", "line")
+    names = sized.select(*keys, "pos", *(f"rank{k}" for k in range(depth + 1)))
+    head = runs.join(names, keys).select("row", "at", "m", "k", "tail", "pos", rank().alias("head"))
+    tail = names.select("row", F.col("at").alias("tail"), *(f"rank{k}" for k in range(depth + 1)))
+    both = head.join(tail, ["row", "tail"]).select("row", "at", "m", "pos", "head", rank().alias("end"))
+    both = staged(both.filter("head is not null and end is not null"))
+    return both.join(_classes(both, "m", "head", "end"), ["m", "head", "end"]).filter("first < pos").select("row", "at", "m")
+
+
+def later_copies(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(row, at, m)``: intervals of m lines from the at-th non-blank line that repeat an earlier run of enough words.
+
+    ``found``: rows of ``lines()``, staged (they are read several times). Their union is the union of all maximal
+    repeated runs of at least ``min_words`` words.
+    """
+    levels = intervals(found)
+    need = max(1, min_words)
+    short = [x for k, x in enumerate(levels) if 1 << k <= need]
+    out = _short(short, need)
+    for k, level in enumerate(levels):
+        if 1 << k >= need:
+            out = out.unionByName(level.filter("first < pos").select("row", "at", F.lit(1 << k).alias("m")))
+    return out
+
+
+def _delete(text_col: str, starts: str, spans: str, names: list[str]):
+    """Task over rows with their later copies: the text without them, how many lines went, whether all did."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone, empty = batch.column(text_col).to_pylist(), [], []
+            for k, (at, m) in enumerate(zip(batch.column(starts).to_pylist(), batch.column(spans).to_pylist(), strict=True)):
+                if at is None:
+                    gone.append(0), empty.append(False)
+                    continue
+                parts = texts[k].split("\n")
+                solid = [i for i, x in enumerate(parts) if x.strip(" \t\n\x0b\x0c\r")]
+                edge = np.zeros(len(solid) + 1, np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, np.add(at, m), -1)
+                drop = {solid[i] for i in np.flatnonzero(edge.cumsum()[:-1])}
+                gone.append(len(drop)), empty.append(len(drop) == len(solid))
+                texts[k] = "" if empty[-1] else "\n".join(x for i, x in enumerate(parts) if i not in drop)
+            kept = [batch.column(c) if c != text_col else pa.array(texts, batch.schema.field(c).type) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(gone, pa.int64()), pa.array(empty, pa.bool_())], names=[*names, starts, spans])
+
+    return run
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,22 +172,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Names of the two new columns get a trailing underscore where ``docs`` has them. Blank lines stay where they stand
     unless all other lines of the text went (then the text is empty and ``emptied`` is true). Null and blank texts are
-    returned as they are. Of repeated rows the first in row order is the earlier. An empty table gives no rows.
+    returned as they are. Of repeated rows the first in row order is the earlier. An empty table gives no rows. Rows are
+    numbered once and written with their number, so it does not matter how the input is dealt when it is read again.
     """
-    found = staged(lines(docs, id_col, text_col))
-    row, gone = private(docs, "row_number"), private(docs, "deleted")
-    drop = later_copies(found, min_words).groupBy("row").agg(F.collect_set("line").alias(gone)).withColumnRenamed("row", row)
-    out = docs.withColumn(row, F.monotonically_increasing_id()).join(drop, row, "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone), s["i"]))
-    joined = F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
-    blank = F.regexp_replace(joined, _TRIM, "") == ""
+    row, at, m = private(docs, "row_number"), private(docs, "copy_at"), private(docs, "copy_lines")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = staged(lines(rows, row, id_col, text_col))
+    spans = later_copies(found, min_words).groupBy("row").agg(F.collect_list(F.struct("at", "m")).alias("s"))
+    spans = staged(spans.select(F.col("row").alias(row), F.col("s.at").alias(at), F.col("s.m").alias(m)))
+    # the side of the spans is hashed, so texts are not sorted
+    out = rows.join(spans.hint("shuffle_hash"), row, "left").drop(row)
     count, empty = private(docs, "lines_deleted"), private(docs, "emptied")
-    out = out.withColumn(count, F.coalesce(F.size(gone), F.lit(0)).cast("long")).withColumn(empty, F.col(gone).isNotNull() & blank)
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).when(blank, F.lit("")).otherwise(joined)
-    return out.withColumn(text_col, text).drop(row, gone)
+    schema = docs.select("*", F.lit(0).cast("long").alias(at), F.lit(True).alias(m)).schema
+    return out.mapInArrow(_delete(text_col, at, m, docs.columns), schema).withColumnsRenamed({at: count, m: empty})
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines_deleted, emptied, text for every document: later copies of repeated line runs deleted."""
-    return line_dedup(load(spark, sf_dir, "documents")).select("doc_id", "lines_deleted", "emptied", "text")
+    return line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "lines_deleted", "emptied", "text")

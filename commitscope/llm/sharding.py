@@ -122,7 +122,7 @@ SQL = f"""
 WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')), 1, 15) AS BIGINT) AS addr FROM documents),
 levels AS (SELECT depth, addr >> (60 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs
-    FROM d, (SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS depth) GROUP BY ALL),
+    FROM d, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS depth) GROUP BY ALL),
 leaf AS (SELECT a.* FROM levels a LEFT JOIN levels b ON b.depth = a.depth - 1 AND b.prefix = a.prefix >> 1
     WHERE (a.shard_bytes <= {LIMIT} OR a.shard_docs = 1) AND (a.depth = 0 OR b.shard_bytes > {LIMIT} AND b.shard_docs > 1))
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), depth) END AS shard_id,

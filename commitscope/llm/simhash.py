@@ -33,13 +33,16 @@ from pyspark.sql import functions as F
 from commitscope.llm._common import load, private, staged, utf8
 from commitscope.llm._graph import components
 
-BITS, MIN_SHARED, SMALL, HOT, SLOTS = 4, 4, 16, 50_000, 1 << 20
+BITS, MIN_SHARED, SMALL, HOT = 4, 4, 16, 50_000
 #: Shingles that are hashed at a time: bounded scratch memory for very long texts.
 BLOCK = 65_536
 WIDE, PROPOSE_BITS = ("f0", "f1", "f2", "f3"), 80
 #: Least similarity of near copies as a fraction, and the bytes of one group's texts that a task compares at a time.
 NEAR, GROUP_BYTES = (4, 5), 32 << 20
+#: Common shingles that are posted last, and hashes that are counted at a time to find them.
+COMMON, COUNTED = 1 << 16, 1 << 21
 _MIX = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F, 0x78DDE6E5FD29F054], np.uint64)
+_LANES = np.uint64(0x0101010101010101)
 
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 #: Twenty triples of byte positions such that any four positions contain one of them.
@@ -65,38 +68,51 @@ def _shingles(text: bytes, words: int) -> tuple[Iterator[bytes], int]:
     return map(joined.__getitem__, map(slice, (ends - sizes - 1)[:n].tolist(), (ends[k - 1 :] - 1).tolist())), n
 
 
-def _majority(rows: Iterator[np.ndarray], n: int, bits: int) -> bytes:
-    """Bits set in over half of ``n`` hashes; ``rows``: their bytes, a block at a time."""
-    total = np.zeros(bits, np.int64)
-    for block in rows:
-        total += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > n).tobytes()
+def _majority(blocks: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """Words whose bits are set in over half of ``n`` rows; ``blocks``: rows x words of 64 bits, a block at a time.
+
+    Eight bits of a word are counted at once, one a byte lane, over at most 255 rows.
+    """
+    total: np.ndarray | int = 0
+    for h in blocks:
+        at = np.arange(0, len(h), 255)
+        lanes = [np.add.reduceat((h >> np.uint64(b)) & _LANES, at, axis=0).view(np.uint8) for b in range(8)]
+        total = total + np.stack([x.reshape(len(at), -1, 8).sum(axis=0, dtype=np.int64) for x in lanes], axis=-1)
+    return np.packbits(2 * total > n, axis=-1, bitorder="little")[..., 0].copy().view("<u8")[:, 0]
 
 
 def fingerprint(text: bytes, words: int) -> int:
     """Unsigned 64-bit SimHash over XXH64 (seed 42) of the shingles; 0 without words."""
     shingles, n = _shingles(text, words)
+    if not n:
+        return 0
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(42))
-    rows = (np.fromiter(islice(hashes, BLOCK), np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8) for _ in range(0, n, BLOCK))
-    return int.from_bytes(_majority(rows, n, 64), "big")
+    return int(_majority((np.fromiter(islice(hashes, BLOCK), np.uint64)[:, None] for _ in range(0, n, BLOCK)), n)[0])
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Distinct XXH3 hashes of the shingles, ascending; a text without words has the empty shingle."""
-    shingles, n = _shingles(text, words)
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles if n else (b"",)), np.uint64))
+    """Distinct 64-bit hashes of the shingles, ascending: XXH3 of the words, mixed in their order; without words, one of its own."""
+    parts = text.lower().split()
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+    k = min(words, len(parts))
+    n = len(parts) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = (out ^ word[i : i + n]) * _MIX[0]
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """256-bit SimHash of a shingle set: each hash is mixed with four seeds."""
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Four words of a 256-bit SimHash of a shingle set: each hash is mixed with four seeds."""
 
     def mixed(x: np.ndarray) -> np.ndarray:
         x = x[:, None] + _MIX
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))).view(np.uint8)
+        return x ^ (x >> np.uint64(31))
 
-    return _majority((mixed(hashes[i : i + BLOCK]) for i in range(0, len(hashes), BLOCK)), len(hashes), 256)
+    return _majority((mixed(hashes[i : i + BLOCK]) for i in range(0, len(hashes), BLOCK)), len(hashes))
 
 
 def _fingerprints(words: int, carry: list[str]):
@@ -114,14 +130,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(_fingerprints(words, ["doc_id"]), "doc_id long, fp long")
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def common_shingles(docs: DataFrame, text_col: str = "text", words: int = 5, most: int = COMMON) -> np.ndarray:
+    """Hashes of at most ``most`` very common shingles, the most common last; what is in it never changes a result.
+
+    Every shingle of every row is counted in blocks of about ``COUNTED`` hashes; a block reports those that stand in
+    three of its rows and in one of 500, so what is reported is small, whatever the size of the corpus.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = n = 0
+
+        def flush() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            often = count >= max(3, -(-rows // 500))
+            return pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(count[often])], names=["key", "n"])
+
+        for batch in batches:
+            for x in batch.column("text").to_pylist():
+                held.append(shingle_set(x, words))
+                rows, n = rows + 1, n + len(held[-1])
+                if n > COUNTED:
+                    yield flush()
+                    held, rows, n = [], 0, 0
+        if held:
+            yield flush()
+
+    tally = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = tally.orderBy(F.desc("n"), "key").limit(most).collect()
+    return np.array([r[0] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, common: np.ndarray | None = None) -> DataFrame:
     """``(doc_id, t, node, f0, f1, f2, f3, prefix)`` for every row.
 
     ``t``: MD5 of the text; ``node``: hash of its shingle set; then the set's 256-bit fingerprint and the hashes it is
-    posted under.
+    posted under: the first of the set in one order of all hashes, in which ``common`` ones come last.
     """
+    common = np.zeros(0, np.uint64) if common is None else common
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))  # at most COMMON longs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, place = shared.value
+
+        def ordered(hashes: np.ndarray) -> np.ndarray:
+            if not len(often):
+                return hashes
+            at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+            hit = often[at] == hashes
+            return np.concatenate([hashes[~hit], hashes[hit][np.argsort(place[at[hit]])]]) if hit.any() else hashes
+
         for batch in batches:
             nodes, prints, heads = [], [], []
             for x in batch.column("text").to_pylist():
@@ -129,8 +187,8 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = len(hashes)
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                 prints.append(wide_fingerprint(hashes))
-                heads.append(hashes[: n + 1 - -(-n * NEAR[0] // NEAR[1])].view(np.int64))
-            f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 4)
+                heads.append(ordered(hashes)[: n + 1 - -(-n * NEAR[0] // NEAR[1])].view(np.int64))
+            f = np.array(prints, np.uint64).reshape(-1, 4).view(np.int64)
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
             prefix = pa.array(heads, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), node, *(pa.array(f[:, k].copy()) for k in range(4)), prefix], names=["doc_id", "t", "node", *WIDE, "prefix"])
@@ -249,22 +307,27 @@ def _postings(fps: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def link_units(fps: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """Postings dealt to work units: a list is one unit; a list over ``hot`` is one unit for every two of its blocks.
-
-    List lengths are bounded above by counts over ``SLOTS`` hash slots (at most 2^20 rows, a proven bound, so the
-    table of hot slots may be broadcast). A slot that only looks hot is cut too, which costs copies but no link.
-    """
+    """Postings dealt to work units: a list is one unit; a list over ``hot`` is one unit for every two of its blocks."""
     # bits 0-30: quarter, triple and bytes; above: the two blocks plus one, up to 2^16 blocks each
     return _dealt(_postings(fps, fields), hot, fields, lambda low, high: F.col("key") + F.shiftleft(low + 1, 31) + F.shiftleft(high + 1, 47))
 
 
 def _dealt(posted: DataFrame, hot: int, fields: tuple[str, ...], unit: Callable[[F.Column, F.Column], F.Column]) -> DataFrame:
-    """Work units of ``posted(key, ...)``; ``unit`` names the one of two blocks of a list."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
+    """Work units of ``posted(key, ...)``; ``unit`` names the one of two blocks of a list.
+
+    List lengths are bounded above by counts over hash slots, of which there are so many that a slot's share of all
+    postings is a sixteenth of ``hot``: only lists that are long make a slot long, at any size. The table of hot slots
+    has at most one row for ``hot`` postings and is joined without a hint, so its size decides how. A slot that only
+    looks hot is cut too, which costs copies but no link.
+    """
+    slots = 1 << max(10, (16 * posted.count() // hot).bit_length())
+    slot = F.pmod(F.xxhash64("key"), F.lit(slots))
     carry = [c for c in posted.columns if c != "key"]
     hot_slots = posted.groupBy(slot.alias("slot")).count().filter(F.col("count") > hot)
-    hot_slots = hot_slots.select("slot", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
-    dealt = posted.withColumn("slot", slot).join(F.broadcast(hot_slots), "slot", "left")
+    hot_slots = staged(hot_slots.select("slot", F.ceil(F.col("count") / hot).cast("int").alias("blocks")))
+    if not hot_slots.take(1):
+        return posted.select(F.col("key").alias("unit"), *carry)
+    dealt = posted.withColumn("slot", slot).join(hot_slots, "slot", "left")
     mine = F.pmod(F.xxhash64(F.lit(5), *fields), F.col("blocks"))
     dealt = dealt.select("key", *carry, "blocks", mine.alias("mine"))
     cold = dealt.filter("blocks is null").select(F.col("key").alias("unit"), *carry)
@@ -287,7 +350,8 @@ def near_groups(fp: DataFrame, hot: int = HOT, fields: tuple[str, ...] = ("fp",)
     named = each.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = staged(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("root", *fields).join(least, "root").select(*fields, "component_id")
+    # staged: the last join then has plain shuffles on both sides, and rows of one fingerprint can be split by AQE
+    label = staged(named.select("root", *fields).join(least, "root").select(*fields, "component_id"))
     return fp.join(label, list(fields), "left")
 
 
@@ -383,24 +447,23 @@ def near_links(docs: DataFrame, sets: DataFrame, hot: int = HOT, id_col: str = "
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group (similarity of 0.8 or more): the one with the least id.
 
-    All columns pass unchanged. Of rows that repeat the kept id, one stays. A group whose ids are all null keeps one
-    of its rows. Empty texts form one group.
+    All columns pass unchanged. Null ids come last; of rows that repeat the least id, the one with the least MD5 of its
+    text stays, and of rows that repeat both, one. Empty texts form one group. An empty table gives no rows.
     """
-    if not docs.columns:
-        return docs
-    sets = staged(shingle_sets(docs, id_col, text_col, words))
+    sets = staged(shingle_sets(docs, id_col, text_col, words, common_shingles(docs, text_col, words)))
     root = components(near_links(docs, sets, HOT, id_col, text_col, words))
-    groups = sets.select("doc_id", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    n, key = private(docs, "copies"), private(docs, "kept_id")
-    least = groups.groupBy("root").agg(F.min("doc_id").alias(key)).select(key).distinct()
-    count = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n))
-    kept = staged(least.join(count, F.col(key).eqNullSafe(F.col("doc_id"))).select(key, n))
-    on = docs[id_col].cast("long").eqNullSafe(F.col(key))
-    once = docs.join(kept.filter(F.col(n) == 1).drop(n), on, "left_semi")
+    groups = sets.select("doc_id", "t", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    n, key, text = private(docs, "copies"), private(docs, "kept_id"), private(docs, "kept_text")
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("least_id"), F.col("k.t").alias("least_t"))
+    rows = sets.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias(n))
+    kept = staged(rows.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("t") == F.col("least_t")), "left_semi"))
+    kept = kept.select(F.col("doc_id").alias(key), F.col("t").alias(text), n)
+    on = docs[id_col].cast("long").eqNullSafe(F.col(key)) & (F.md5(utf8(text_col)) == F.col(text))
+    once = docs.join(kept.filter(F.col(n) == 1).drop(n).hint("shuffle_hash"), on, "left_semi")
     if not kept.filter(F.col(n) > 1).take(1):
         return once
-    again = docs.join(kept.filter(F.col(n) > 1).drop(n), on, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    again = docs.join(kept.filter(F.col(n) > 1).drop(n), on, "left_semi").withColumn(text, F.md5(utf8(text_col)))
+    return once.unionByName(again.dropDuplicates([id_col, text]).drop(text))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,46 @@ def test_long_texts(spark, documents):
     docs = documents([(1, "\n".join([line] * 20_000)), (2, "\n".join(f"own line number {k} of this text" for k in range(20_000)))])
     got = {r.doc_id: (r.lines_deleted, r.text) for r in line_dedup.line_dedup(docs).collect()}
     assert got[1] == (19_999, line) and got[2][0] == 0
+
+
+def test_rows_dealt_anew_and_a_wide_extra_column(spark, documents):
+    """The result does not depend on how the input's tasks are formed when it is read twice."""
+    rng = random.Random(9)
+    lines = [f"line {k} of some words here" for k in range(12)]
+    docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    want = brute(docs)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        wide = documents(docs).selectExpr("*", "repeat(text, 40) wide").repartition(16, "doc_id")
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(wide).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert got == {k: expected(text, want[k]) for k, text in docs}
+
+
+def test_doubling_converges(spark, documents):
+    """Intervals of every depth up to the longest repeated run, each with its earliest suffix."""
+    run = [f"line {k}" for k in range(21)]
+    docs = documents([(1, "\n".join(run)), (2, "\n".join(["x", *run, "y"])), (3, "\n".join(run[:9]))], row="r")
+    found = line_dedup.staged(line_dedup.lines(docs.selectExpr("*", "doc_id as n"), "n"))
+    levels = line_dedup.intervals(found)
+    assert len(levels) == 5  # 1, 2, 4, 8 and 16 lines
+    for k, level in enumerate(levels):
+        rows = [(r.pos.d, r.at, r.first.d, r.first.at) for r in level.collect()]
+        m = 1 << k
+        want = [(d, at, 1, at - (d == 2)) for d, low, n in ((1, 0, 21), (2, 1, 21), (3, 0, 9)) for at in range(low, low + n - m + 1)]
+        assert sorted(rows) == sorted(want)
+
+
+@pytest.mark.parametrize("least", [1, 2, 9, 40])
+def test_other_lengths(spark, documents, least):
+    rng = random.Random(least)
+    lines = ["a", "b b", "c c c", "d d d d"]
+    docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for k in range(12)]
+    docs += [(k + 20, text) for k, text in docs] + [(50, "\n".join("a" for _ in range(90)))]
+    want = brute(docs, least)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(documents(docs), min_words=least).collect()}
+    for k, (doc, text) in enumerate(docs):
+        assert got[doc].text == expected(text, want[k])
