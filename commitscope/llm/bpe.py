@@ -3,7 +3,7 @@
 A word's greedy longest-match split is proposed. It is the BPE result if every token is its own encoding and every two
 adjacent tokens are compatible, that is if no merge across their border comes before the merges inside them; the checks
 walk down both merge trees for all pairs of a batch at once with NumPy. Only words with a failing pair are merged
-exactly, pair by pair. Words are encoded once a task and cached up to ``CACHE`` entries.
+exactly, pair by pair. A worker process reads the vocabulary once and keeps up to ``CACHE`` encoded words over its tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -249,6 +250,12 @@ class Coder:
             at = to
 
 
+@cache
+def coder(path: str) -> Coder:
+    """This process's coder: a worker keeps it, and the words it knows, from task to task."""
+    return Coder(path)
+
+
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The concatenation of ``flat[start:start + size]`` over all rows."""
     ends = np.cumsum(size)
@@ -257,10 +264,10 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        mine_coder = coder(path)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for mine, back in coder.code(batch.column("text").to_pylist()):
+            for mine, back in mine_coder.code(batch.column("text").to_pylist()):
                 n.append(len(mine))
                 ids.append(hashlib.sha256(mine.tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
@@ -272,9 +279,9 @@ def _digests(path: str):
 
 def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        mine_coder = coder(path)
         for batch in batches:
-            got = [(mine.astype(np.int32), back.decode()) for mine, back in coder.code(batch.column("text").to_pylist())]
+            got = [(mine.astype(np.int32), back.decode()) for mine, back in mine_coder.code(batch.column("text").to_pylist())]
             ids = pa.array([x for x, _ in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([x for _, x in got], pa.string())], names=["doc_id", "ids", "decoded"])
 

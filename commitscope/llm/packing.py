@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from commitscope.llm._common import load, private, staged
 
 SIZE = 2048
+PLACED = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 #: The pre-tokens of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,23 +54,29 @@ class Encoder:
         return array("I", self.ranked(text)).tobytes()
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """This process's encoder: a worker keeps it from task to task."""
+    return Encoder(path)
+
+
 def piece_lengths(n: int, size: int = SIZE) -> list[int]:
     """Only documents over ``size`` are cut; then all pieces but the first are full."""
     if n <= size:
         return [n]
-    return [n % size or size] + [size] * ((n - 1) // size - (0 if n % size else 0))
+    return [n % size or size] + [size] * ((n - 1) // size)
 
 
 def _pieces(path: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        ids_of = encoder(path).ids
         task = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = encoder.ids(text) + tail
+                data = ids_of(text) + tail
                 at = 0
                 for k, n in enumerate(piece_lengths(len(data) // 4, size)):
                     values = (row, doc, k, at, n, zlib.crc32(data[4 * at : 4 * (at + n)]), int(seen[n]))
@@ -151,15 +159,23 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, size: int = SIZE, id_col
             used[length] += bins * n
             offset += length * n
         first += bins
-    spark = docs.sparkSession
-    # at most ``size`` lengths times the plan's rows, whatever the input: a bounded broadcast
-    table = spark.createDataFrame(spans, "length long, low long, high long, n long, first long, base long")
+    # A plan row leaves one of its lengths with fewer pieces than a bin takes, at most size / length; so a length ends at
+    # most as many rows, there are at most size * (ln size + 2) rows of a few lengths each, and the spans are under 20 MB.
+    table = np.array(sorted(spans), np.int64).reshape(-1, 6)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, low, high, n, first, base = shared.value.T
+        ends = (length << 48) + high
+        for batch in batches:
+            mine, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            k = np.searchsorted(ends, (mine << 48) + rank, side="right")
+            nth = rank - low[k]
+            kept = [batch.column(c) for c in ("row", "doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(first[k] + nth // n[k]), pa.array(base[k] + nth % n[k] * mine)], names=PLACED)
+
     ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
-    placed = ranked.join(F.broadcast(table), "length").filter("rank >= low and rank < high")
-    return placed.select(
-        "row", "doc_id", "piece", "start", "length", "ids_crc32",
-        F.expr("first + (rank - low) div n").alias("sequence_id"), F.expr("base + (rank - low) % n * length").alias("offset"),
-    )
+    return ranked.mapInArrow(place, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Quality rules with an isolation forest over rule statistics.
 
 Rule statistics are counted over whole texts. An isolation forest is grown on a bounded sample of labelled good rows
-(``FIT_ROWS`` rows in the order of a hash of their ids): trees split random statistics at random values, and a
-document that is isolated after few splits is anomalous. The score threshold is calibrated on all labelled rows: of
-the thresholds that reject at most ``MAX_GOOD_LOST`` of the good rows, the one that best separates good from bad.
-Statistics enter the forest as ratios, so length alone is no anomaly.
+(``FIT_ROWS`` rows in the order of a hash of their ids): trees split random statistics at random values of the box that
+all labelled rows, good and bad, span, and a document is anomalous if few splits part it from the sampled rows: its
+score follows from its mean path length. The threshold is calibrated on all labelled rows: of the thresholds that
+reject at most ``MAX_GOOD_LOST`` of the good rows, the one that best separates good from bad.
+Statistics enter the forest as logarithms of ratios, so length alone is no anomaly and small rates are told apart.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from commitscope.llm._common import load, private, staged, utf8
 
 FIT_ROWS, TREES, TREE_ROWS, SEED, BINS, MAX_GOOD_LOST = 8_192, 100, 256, 7, 2_000, 0.002
+#: Depth of trees beyond the logarithm of their rows (splits of a box often have all rows on one side), and least ratio.
+DEEPER, LEAST = 4, 0.02
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
@@ -60,64 +63,61 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """Ratios of the statistics (rows x STATS) that do not depend on length."""
+    """Logarithms of ratios of the statistics (rows x STATS) that do not depend on length."""
     n, chars, symbols, dup, repeat, lines, upper, marks, digits = np.maximum(stats, 0).astype(float).T
     w, c = np.maximum(n, 1), np.maximum(chars, 1)
-    return np.stack([chars / w, symbols / w, dup / np.maximum(lines, 1), repeat / w, upper / c, marks / w, digits / c], axis=1)
+    return np.log(LEAST + np.stack([chars / w, symbols / w, dup / np.maximum(lines, 1), repeat / w, upper / c, marks / w, digits / c], axis=1))
 
 
 class Forest:
-    """Isolation trees as flat arrays: feature (-1 at leaves), split, left child (right is next), expected path length."""
+    """Isolation trees as flat arrays: feature (-1 at leaves), split, left child (right is next), expected path length.
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED) -> None:
+    Splits are uniform in the box ``low``-``high`` (that of the rows, if not given) as it is cut on the way down.
+    """
+
+    def __init__(self, rows: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, trees: int = TREES, size: int = TREE_ROWS, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         self.norm = self._average(min(size, len(rows)))
-        self.trees = [self._grow(rows[rng.choice(len(rows), min(size, len(rows)), replace=False)], rng) for _ in range(trees)] if len(rows) else []
+        self.trees = []
+        if len(rows):
+            box = rows.min(axis=0) if low is None else low, rows.max(axis=0) if high is None else high
+            self.trees = [self._grow(rows[rng.choice(len(rows), min(size, len(rows)), replace=False)], box, rng) for _ in range(trees)]
 
     @staticmethod
     def _average(n: int) -> float:
+        """Path length of an unsuccessful search among n rows: what a leaf of n rows would still take."""
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        limit = int(np.ceil(np.log2(max(2, len(rows)))))
+    def _grow(self, rows: np.ndarray, box: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+        limit = int(np.ceil(np.log2(max(2, len(rows))))) + DEEPER
         feature, split, child, path = [-1], [0.0], [0], [0.0]
-        todo = [(0, rows, 0)]
+        todo = [(0, rows, 0, *box)]
         while todo:
-            at, mine, depth = todo.pop()
-            varied = np.flatnonzero(mine.max(axis=0) > mine.min(axis=0)) if len(mine) > 1 else []
-            if depth >= limit or not len(varied):
+            at, mine, depth, low, high = todo.pop()
+            wide = np.flatnonzero(high > low)
+            if depth >= limit or not len(mine) or not len(wide):
                 path[at] = depth + self._average(len(mine))
                 continue
-            f = int(rng.choice(varied))
-            low, high = mine[:, f].min(), mine[:, f].max()
-            x = rng.uniform(low, high)
+            f = int(rng.choice(wide))
+            x = rng.uniform(low[f], high[f])
             feature[at], split[at], child[at] = f, x, len(feature)
-            for part in (mine[mine[:, f] <= x], mine[mine[:, f] > x]):
-                todo.append((len(feature), part, depth + 1))
+            below = mine[:, f] <= x
+            for part, a, b in ((mine[below], low, np.where(np.arange(len(high)) == f, x, high)), (mine[~below], np.where(np.arange(len(low)) == f, x, low), high)):
+                todo.append((len(feature), part, depth + 1, a, b))
                 feature.append(-1), split.append(0.0), child.append(0), path.append(0.0)
-        # a value beyond all of the sample's leaves it at once
-        return np.array(feature), np.array(split), np.array(child), np.array(path), rows.min(axis=0), rows.max(axis=0)
+        return np.array(feature), np.array(split), np.array(child), np.array(path)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Anomaly score of feature rows, 0 to 1, higher for shorter paths; values outside a tree's sample end its path.
-
-        Each value outside the range of a tree's sample counts as isolated at the root in proportion to its excess.
-        """
+        """Anomaly score of feature rows, 0 to 1: two to the power of minus the mean path length over its expectation."""
         if not self.trees or not len(rows):
             return np.zeros(len(rows))
         total = np.zeros(len(rows))
-        for feature, split, child, path, low, high in self.trees:
-            at = np.zeros(len(rows), np.int64)
-            while True:
-                f = feature[at]
-                inner = np.flatnonzero(f >= 0)
-                if not len(inner):
-                    break
+        for feature, split, child, path in self.trees:
+            at, inner = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            while len(inner := inner[feature[at[inner]] >= 0]):
                 here = at[inner]
-                at[inner] = child[here] + (rows[inner, f[inner]] > split[here])
-            span = np.maximum(high - low, 1e-9)
-            out = np.maximum(np.maximum(rows - high, low - rows) / span, 0).max(axis=1)
-            total += path[at] / (1 + out)
+                at[inner] = child[here] + (rows[inner, feature[here]] > split[here])
+            total += path[at]
         return np.exp2(-total / len(self.trees) / max(self.norm, 1e-9))
 
 
@@ -136,7 +136,15 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest | None, float]:
     sample = known.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(FIT_ROWS).select(*STATS).collect()
     if not sample:
         return None, 1.0
-    forest = Forest(features(np.array(sample, np.int64)))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = features(np.stack([batch.column(c).to_numpy() for c in STATS], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(range(x.shape[1]), pa.int32()), pa.array(x.min(axis=0)), pa.array(x.max(axis=0))], names=["f", "low", "high"])
+
+    box = known.mapInArrow(spans, "f int, low double, high double").groupBy("f").agg(F.min("low"), F.max("high")).orderBy("f").collect()  # a row a feature
+    forest = Forest(features(np.array(sample, np.int64)), np.array([r[1] for r in box]), np.array([r[2] for r in box]))
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-SQL = {"op4_sharding": sharding.SQL, "op5_urls": url_reputation.SQL, "op7_exact": exact_dedup.SQL}
+SQL = {"op4_sharding": sharding.SQL, "op5_urls": url_reputation.SQL, "op7_exact": exact_dedup.SQL, "op9_lines": line_dedup.SQL}

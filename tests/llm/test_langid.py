@@ -41,10 +41,31 @@ def test_mixture_finds_both_parts(spark):
     b = [" ".join(w for w in "der die das und nicht eine einer über schön zwischen welche werden".split()) * 20]
     names, model = make_model(spark, {"aa": a, "bb": b})
     assert names == ["aa", "bb"]
-    found = langid.mixture("the and of that with there " * 30 + "der die das und nicht eine " * 10, model)
+    found, _ = langid.mixture("the and of that with there " * 30 + "der die das und nicht eine " * 10, model)
     assert set(found) == {0, 1} and abs(found[0] - 0.75) < 0.1
-    assert set(langid.mixture("the and of that with there " * 30, model)) == {0}
-    assert langid.mixture("1234 !!! \n", model) == {} == langid.mixture("", model)
+    assert set(langid.mixture("the and of that with there " * 30, model)[0]) == {0}
+    assert langid.mixture("1234 !!! \n", model)[0] == {} == langid.mixture("", model)[0]
+
+
+def test_a_small_share_is_judged_by_its_penalty_alone(spark):
+    a = [" ".join(w for w in "the and of that with there then other these this those they their".split()) * 20]
+    b = [" ".join(w for w in "der die das und nicht eine einer über schön zwischen welche werden".split()) * 20]
+    _, model = make_model(spark, {"aa": a, "bb": b})
+    found, _ = langid.mixture("the and of that with there then other " * 120 + "zwischen welche werden einer nicht über schön " * 2, model)
+    assert set(found) == {0, 1} and found[1] < 0.02
+
+
+def test_unlearned_text_is_told(spark, documents):
+    import random
+
+    rng = random.Random(2)
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and len(r.text) > 300}
+    names, model = langid.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").filter("text is not null"))
+    known = [langid.mixture(r.text, model)[1] for r in docs.values() if r.lang is not None]
+    assert np.mean(np.array(known) < 0.5) > 0.97
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150))
+    other = "быстрая коричневая лиса прыгает через ленивую собаку " * 20
+    assert langid.mixture(noise, model)[1] > 0.8 and langid.mixture(other, model)[1] > 0.8
 
 
 def test_nothing_to_learn_from(spark, documents):
@@ -57,6 +78,7 @@ def test_nothing_to_learn_from(spark, documents):
 def test_stage_keeps_rows_as_they_are(spark, documents):
     docs = documents([(1, "some plain words in a text " * 20), (1, None), (2, "..."), (4, "more plain words " * 50_000)], identified="x")
     kept = langid.keep_identified(docs)
+    assert langid.identify(docs).columns == ["doc_id", "held_out", "lang_pred", "score", "langs", "unknown"]
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 

@@ -123,3 +123,7 @@ def test_other_lengths(spark, documents, least):
     got = {r.doc_id: r for r in line_dedup.line_dedup(documents(docs), min_words=least).collect()}
     for k, (doc, text) in enumerate(docs):
         assert got[doc].text == expected(text, want[k])
+
+
+def test_query_is_sql(spark, data, duck, rows):
+    assert rows(line_dedup.op9_lines(spark, data)) == duck(line_dedup.SQL, data, "documents")

@@ -46,3 +46,43 @@ def test_odd_tables(spark, data, documents):
 
 def test_oracle_is_declared():
     assert p.ORACLE_SQL is None and [n for n, _ in p.STAGES] == ["language", "quality", "lines", "near", "packing"]
+
+
+def test_line_and_near_stages_are_brute_force_on_the_whole_table(spark, data):
+    """Which lines and which documents stay, against comparing all pairs of runs and of shingle sets."""
+    from test_line_dedup import brute, expected
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    gone = brute(rows)
+    texts = {d: expected(t, gone[k]) for k, (d, t) in enumerate(rows)}
+    texts = {d: t for (d, t0), t in zip(rows, texts.values(), strict=True) if not (t == "" and t0)}
+    out = staged(p.lines(spark, docs, data))
+    assert {r.doc_id: r.text for r in out.collect()} == texts
+
+    def shingles(text):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    ids = sorted(texts)
+    sets = [shingles(texts[d]) for d in ids]
+    up = list(range(len(ids)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    want = {ids[i] for i in range(len(ids)) if root(i) == i}
+    assert {r.doc_id for r in p.near(spark, out, data).collect()} == want and len(want) < len(ids)
+
+
+def test_run_leaves_one_folder_a_stage(spark, data):
+    from commitscope.llm import _common
+
+    before = len(_common._made)
+    p.run(spark, data)
+    assert len(_common._made) - before == len(p.STAGES)
