@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitscope.llm import langid, line_dedup, packing, quality, simhash
-from commitscope.llm._common import load, staged
+from commitscope.llm._common import finished, load
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -54,7 +54,7 @@ STAGES = [("language", language), ("quality", rules), ("lines", lines), ("near",
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
 
 
