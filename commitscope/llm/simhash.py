@@ -436,7 +436,8 @@ def near_links(docs: DataFrame, sets: DataFrame, hot: int = HOT, id_col: str = "
     texts = rows.join(one, (rows["t"] == one["t"]) & rows["id"].eqNullSafe(one["doc_id"])).select("node", "root", "text")
     texts = staged(texts.dropDuplicates(["node"]))
     # a group over ``most`` bytes is cut into blocks, and every two blocks meet in one task
-    large = texts.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text")) / most).cast("int").alias("blocks")).filter("blocks > 1")
+    # (staged: the join has plain shuffles on both sides, and the texts of one group can be split by AQE)
+    large = staged(texts.groupBy("root").agg(F.ceil(F.sum(F.octet_length("text")) / most).cast("int").alias("blocks")).filter("blocks > 1"))
     cut = texts.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")))
