@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,9 +28,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder that the session names; a local one is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local one is set only where none is configured and all tasks run on this machine."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="commitscope-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the folder that the session names."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back; removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/view-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from commitscope.cluster import ship
 from commitscope.functions import paths as P
 from commitscope.plans import history, oracle, oracle_tree, tree
-from commitscope.scoring.health import health, health_sql
-from commitscope.sources.synthetic import view
+from commitscope.scoring.health import findings, findings_sql, health, health_sql
+from commitscope.sources.synthetic import shared_views, view
 
 AS_OF = oracle.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +73,7 @@ QUERIES |= {
     "fan_in_out": _on("head_files", tree.fan_in_out),
     "dead_code": _on("head_files", tree.dead_code),
     "debt_markers": _on("head_files", tree.debt_markers),
-    "half_life": _on("blame", tree.half_life, as_of=AS_OF),
+    "half_life": lambda spark, sf_dir: tree.half_life(view(spark, sf_dir, "blame"), AS_OF, paths=tree.aged_paths(view(spark, sf_dir, "head_files"))),
     "debt_markers_blamed": lambda spark, sf_dir: tree.debt_markers(view(spark, sf_dir, "head_files"), view(spark, sf_dir, "blame"), AS_OF),
     "bloat": lambda spark, sf_dir: tree.bloat(view(spark, sf_dir, "head_files").withColumn("path", F.concat("path", F.lit(".min.css")))),
     "branches": _on("refs", tree.branches, as_of=AS_OF),
@@ -85,11 +85,17 @@ QUERIES |= {
 HEALTH = "quality knowledge_silos succession ownership complexity outliers debt_markers_blamed large_sources bloat composition branches churn churn_pareto coupling fan_in_out module_coupling authors hotspots".split()
 
 
-def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health({n.removesuffix("_blamed"): QUERIES[n](spark, sf_dir) for n in HEALTH})
+#: Views that several of these reports read; they are built once a query, into the checkpoint folder.
+SHARED = ("changes_mix", "changes_basket", "head_files")
 
 
-QUERIES["health"] = _health
+def _reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    with shared_views(spark, sf_dir, SHARED):
+        return {n.removesuffix("_blamed"): QUERIES[n](spark, sf_dir) for n in HEALTH}
+
+
+QUERIES["health"] = lambda spark, sf_dir: health(_reports(spark, sf_dir))
+QUERIES["health_findings"] = lambda spark, sf_dir: findings(_reports(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
@@ -105,4 +111,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     sql = {**oracle.SQL, **oracle_tree.SQL}
-    return {**sql, "health": health_sql({n.removesuffix("_blamed"): sql[n] for n in HEALTH})}
+    mine = {n.removesuffix("_blamed"): sql[n] for n in HEALTH}
+    return {**sql, "health": health_sql(mine), "health_findings": findings_sql(mine)}

@@ -203,6 +203,22 @@ def knowledge_silos(changes: DataFrame, as_of: str, files: int = 2000, cap: int
     return out.orderBy(F.desc(F.col("risk") == "at_risk"), F.desc("owner_idle_days"), "name").limit(cap)
 
 
+def _before(rows: DataFrame, by: str, sums: dict[str, Column], descending: bool = False, width: int = 1024) -> DataFrame:
+    """``rows`` (a row a value of ``by``) with sums over all rows before each in the order of ``by``.
+
+    Values are cut into blocks of ``width``: rows are ordered within their block, in parallel, and only the blocks' sums,
+    one row for ``width`` values, are ordered as a whole.
+    """
+    way = F.desc if descending else F.asc
+    rows = rows.withColumn("block", F.floor(F.col(by) / width)).withColumns(sums)
+    blocks = rows.groupBy("block").agg(*[F.sum(c).alias(c) for c in sums])
+    whole = Window.orderBy(way("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"{c}_base") for c in sums])
+    inside = Window.partitionBy("block").orderBy(way(by)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).join(blocks, "block")
+    return rows.withColumns({c: F.col(c) + F.col(f"{c}_base") for c in sums}).drop("block", *[f"{c}_base" for c in sums])
+
+
 def churn_pareto(changes: DataFrame, cap: int = 50) -> DataFrame:
     """Top files with cumulative shares, and how many files make 50, 80 and 90 per cent of churn.
 
@@ -210,8 +226,7 @@ def churn_pareto(changes: DataFrame, cap: int = 50) -> DataFrame:
     """
     files = changes.filter(P.is_source()).groupBy("file_path").agg(F.sum(F.col("additions") + F.col("deletions")).alias("churn")).filter("churn > 0")
     values = files.groupBy("churn").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("churn")).rowsBetween(Window.unboundedPreceding, -1)
-    steps = values.select("churn", "n", F.coalesce(F.sum(F.col("churn") * F.col("n")).over(order), F.lit(0)).alias("before"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("files_before"))
+    steps = _before(values, "churn", {"before": F.col("churn") * F.col("n"), "files_before": F.col("n")}, descending=True)
     total = values.agg(F.sum(F.col("churn") * F.col("n")).alias("total"), F.sum("n").alias("files"))
     hit = steps.crossJoin(F.broadcast(total))  # one row
     target = lambda p: F.floor(F.col("total") * p / 100).cast("long")
@@ -237,7 +252,7 @@ def commit_size(changes: DataFrame, cap: int = 25) -> DataFrame:
     """Nearest-rank statistics of commit sizes (from counts per size), and the largest anomalies."""
     c = _commits(changes)
     sizes = c.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-    cum = sizes.withColumn("cum", F.sum("n").over(Window.orderBy("size"))).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all"))))
+    cum = _before(sizes, "size", {"less": F.col("n")}).withColumn("cum", F.col("less") + F.col("n")).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all"))))
     at = lambda k: F.min(F.when(F.col("cum") > k, F.col("size")))
     index = lambda p: F.least(F.floor(F.col("all") * p), F.col("all") - 1)
     s = cum.agg(

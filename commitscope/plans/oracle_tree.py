@@ -13,13 +13,14 @@ _EDGES = f"""{_H}, i AS (SELECT path, 'src/' || split_part(split_part(content, '
  e AS (SELECT path AS source, target FROM i WHERE target IN (SELECT path FROM head_files) AND path <> target)"""
 _PART = "'src/' || lower(p_type) || '/m' || p_partkey || '.py'"
 _SIZE = "(CASE WHEN {b} >= 1073741824 THEN printf('%.2f GB', {b} / 1073741824.0) WHEN {b} >= 1048576 THEN printf('%.2f MB', {b} / 1048576.0) WHEN {b} >= 1024 THEN printf('%.2f KB', {b} / 1024.0) ELSE {b} || ' B' END)"
+_SHORT = "(CASE WHEN {b} >= 1048576 THEN printf('%.2f MB', {b} / 1048576.0) WHEN {b} >= 1024 THEN printf('%.1f KB', {b} / 1024.0) ELSE {b} || ' B' END)"
 _STATUS = "CASE WHEN is_head = 'yes' THEN 'head' WHEN merged = 'yes' AND d >= 60 THEN 'merged_stale' WHEN merged = 'yes' THEN 'merged_recent' WHEN d >= 180 THEN 'abandoned' WHEN d >= 60 THEN 'stale' ELSE 'active' END"
 
 SQL = {
     "composition": f"""{_L} SELECT 'Python' AS name, count(*) AS files, CAST(sum(code) AS BIGINT) AS code, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(code + comment + blank) AS BIGINT) AS total_lines,
  100.0::DOUBLE AS code_pct, round(100.0::DOUBLE * sum(comment) / (sum(code) + sum(comment)), 1) AS comment_ratio_pct, CAST(sum(bytes) AS BIGINT) AS bytes FROM f""",
     "quick_composition": f"""{_L} SELECT 'Python' AS language, 100.0::DOUBLE AS percentage, CAST(sum(code) AS BIGINT) AS code_lines, count(*) AS files FROM f WHERE {P.is_source_sql("path")}""",
-    "large_sources": f"""{_L} SELECT path AS name, bytes AS size_bytes, {_SIZE.format(b="bytes")} AS size_human, code AS code_lines, comment AS comment_lines, blank AS blank_lines, code + comment + blank AS total_lines, 'Python' AS language, 'sizeable' AS recommendation
+    "large_sources": f"""{_L} SELECT path AS name, bytes AS size_bytes, {_SHORT.format(b="bytes")} AS size_human, code AS code_lines, comment AS comment_lines, blank AS blank_lines, code + comment + blank AS total_lines, 'Python' AS language, 'sizeable' AS recommendation
  FROM f WHERE code >= 10 ORDER BY code DESC, path LIMIT 100""",
     "test_ratio": f"""{_L}, t AS (SELECT *, {P.is_test_file_sql()} AS test FROM f WHERE {P.is_source_sql("path")}), r AS (SELECT 'Python' AS name, count(*) FILTER (NOT test) AS source_files, count(*) FILTER (test) AS test_files,
  CAST(coalesce(sum(code) FILTER (NOT test), 0) AS BIGINT) AS source_lines, CAST(coalesce(sum(code) FILTER (test), 0) AS BIGINT) AS test_lines FROM t)
@@ -41,7 +42,7 @@ SQL = {
  SELECT {_STATUS} AS "group", name, last_commit, d AS days_since, author, merged, is_head, {_STATUS} AS recommendation FROM d""",
     "ancestors": f"""WITH RECURSIVE edges AS (SELECT o_orderkey AS oid, o_orderkey - 1 AS parent FROM orders WHERE o_orderkey > 0 AND o_orderkey % 50 <> 0),
  a(oid) AS (SELECT oid FROM edges WHERE oid % 50 = 49 UNION SELECT parent FROM edges JOIN a USING (oid)) SELECT oid FROM a""",
-    "half_life": f"""{prelude("blame")}, f AS (SELECT DISTINCT path FROM blame WHERE {P.is_source_sql("path")} ORDER BY path LIMIT 50),
+    "half_life": f"""{prelude("blame", "head_files")}, c AS (SELECT path FROM head_files WHERE strlen(content) <= 51200 AND ends_with(path, '.py') ORDER BY path LIMIT 50), f AS (SELECT path FROM c WHERE {P.is_source_sql("path")}),
  g AS (SELECT path AS name, CAST(sum(len) AS BIGINT) AS total_lines, CAST(coalesce(sum(len) FILTER (datediff('day', commit_ts, DATE '{AS_OF}') >= 180), 0) AS BIGINT) AS ancient_lines, max(datediff('day', commit_ts, DATE '{AS_OF}')) AS oldest_age_days FROM blame SEMI JOIN f USING (path) GROUP BY 1),
  p AS (SELECT name, total_lines, ancient_lines, CAST(100 * ancient_lines // total_lines AS BIGINT) AS ancient_pct, oldest_age_days FROM g)
  SELECT *, CASE WHEN ancient_pct <= 20 THEN 'hot' WHEN ancient_pct <= 50 THEN 'aging' WHEN ancient_pct <= 80 THEN 'stable' ELSE 'core' END AS recommendation FROM p""",

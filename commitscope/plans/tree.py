@@ -6,7 +6,8 @@ for each file or construct. Everything after that is native.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,32 +15,41 @@ from pyspark.sql import functions as F
 
 from commitscope import cluster
 from commitscope.functions import paths as P
-from commitscope.functions.languages import by_extension, by_name, detect
+from commitscope.functions.languages import by_extension, by_name, detect, languages
 from commitscope.functions.lines import classify, count
 from commitscope.operators import structure
 
 MB = 1 << 20
 
 
-def _bytes(col: str = "content") -> Column:
-    return F.octet_length(col).cast("long")
+def _sized(files: DataFrame) -> DataFrame:
+    """``(path, content, bytes, binary)``: sizes and binary marks of the source where it gives them, else of the text.
+
+    A source of blobs gives ``size`` and ``binary`` (a NUL byte early on, or no UTF-8) and no content for binary files.
+    """
+    size = F.col("size") if "size" in files.columns else F.octet_length("content")
+    binary = F.col("binary") if "binary" in files.columns else F.instr(F.left("content", F.lit(8192)), "\0") > 0
+    return files.select("path", F.coalesce("content", F.lit("")).alias("content"), size.cast("long").alias("bytes"), F.coalesce(binary, F.lit(False)).alias("binary"))
 
 
 def _files(files: DataFrame, most: int) -> DataFrame:
-    return files.select("path", "content", _bytes().alias("bytes")).filter((F.col("bytes") > 0) & (F.col("bytes") <= most))
+    return _sized(files).filter((F.col("bytes") > 0) & (F.col("bytes") <= most))
+
+
+def _texts(files: DataFrame, most: int) -> DataFrame:
+    return _files(files, most).filter("not binary")
 
 
 def line_counts(files: DataFrame) -> DataFrame:
-    """``(path, bytes, language, code, comment, blank, total)``; language null if unknown, ``(binary)`` with a NUL byte."""
+    """``(path, bytes, language, code, comment, blank, total)`` of ``_files``; language null if unknown, marked if binary."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, text, size in zip(part["path"], part["content"], part["bytes"], strict=True):
-                binary = "\0" in text[:8192]
+            for path, text, size, binary in zip(part["path"], part["content"], part["bytes"], part["binary"], strict=True):
                 lang = None if binary else detect(path, text)
                 c = {"code": 0, "comment": 0, "blank": 0} if binary or lang is None else count(text, lang)
-                rows.append((path, size, "(binary/skipped)" if binary else lang, c["code"], c["comment"], c["blank"]))
+                rows.append((path, 0 if binary else size, "(binary/skipped)" if binary else lang, c["code"], c["comment"], c["blank"]))
             yield pd.DataFrame(rows, columns=["path", "bytes", "language", "code", "comment", "blank"])
 
     out = files.mapInPandas(run, "path string, bytes long, language string, code long, comment long, blank long")
@@ -49,7 +59,7 @@ def line_counts(files: DataFrame) -> DataFrame:
 def composition(files: DataFrame) -> DataFrame:
     """Lines by language; files over 2 MiB or of no known language count as (unknown)."""
     small = line_counts(_files(files, 2 * MB))
-    large = files.select("path", _bytes().alias("bytes")).filter(F.col("bytes") > 2 * MB)
+    large = _sized(files).select("path", "bytes").filter(F.col("bytes") > 2 * MB)
     large = large.select("path", "bytes", F.lit(None).cast("string").alias("language"), *[F.lit(0).cast("long").alias(c) for c in ("code", "comment", "blank", "total")])
     per = small.unionByName(large).groupBy(F.coalesce("language", F.lit("(unknown)")).alias("name")).agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in ("code", "comment", "blank", "total", "bytes")])
     total = per.agg(F.sum("code").alias("all_code"))
@@ -61,7 +71,7 @@ def composition(files: DataFrame) -> DataFrame:
 
 
 def quick_composition(files: DataFrame) -> DataFrame:
-    per = line_counts(_files(files.filter(P.is_source("path")), 2 * MB)).filter("language is not null and code > 0").groupBy("language").agg(F.sum("code").alias("code_lines"), F.count(F.lit(1)).alias("files"))
+    per = line_counts(_texts(files.filter(P.is_source("path")), 2 * MB)).filter("language is not null and code > 0").groupBy("language").agg(F.sum("code").alias("code_lines"), F.count(F.lit(1)).alias("files"))
     total = per.agg(F.sum("code_lines").alias("n"))
     return per.crossJoin(F.broadcast(total)).select("language", F.round(F.lit(100.0) * F.col("code_lines") / F.col("n"), 2).alias("percentage"), "code_lines", "files").orderBy(F.desc("percentage"), "language")
 
@@ -70,16 +80,16 @@ LARGE_LANGUAGES = "Bash C C# C++ Dart Go Java JavaScript Kotlin Lua Objective-C
 
 
 def large_sources(files: DataFrame, least: int = 500, cap: int = 100) -> DataFrame:
-    rows = line_counts(_files(files, 20 * MB)).filter(F.col("language").isin(*LARGE_LANGUAGES) & (F.col("code") >= least))
+    rows = line_counts(_texts(files, 20 * MB)).filter(F.col("language").isin(*LARGE_LANGUAGES) & (F.col("code") >= least))
     advice = F.when(F.col("code") >= 5000, "enormous").when(F.col("code") >= 1500, "very_large").otherwise("sizeable")
     return rows.select(
-        F.col("path").alias("name"), F.col("bytes").alias("size_bytes"), P.human_size("bytes").alias("size_human"), F.col("code").alias("code_lines"), F.col("comment").alias("comment_lines"), F.col("blank").alias("blank_lines"),
+        F.col("path").alias("name"), F.col("bytes").alias("size_bytes"), P.source_size("bytes").alias("size_human"), F.col("code").alias("code_lines"), F.col("comment").alias("comment_lines"), F.col("blank").alias("blank_lines"),
         F.col("total").alias("total_lines"), "language", advice.alias("recommendation"),
     ).orderBy(F.desc("code_lines"), "name").limit(cap)
 
 
 def test_ratio(files: DataFrame) -> DataFrame:
-    rows = line_counts(_files(files.filter(P.is_source("path")), 2 * MB)).filter("language is not null").withColumn("test", P.is_test_file().cast("int"))
+    rows = line_counts(_texts(files.filter(P.is_source("path")), 2 * MB)).filter("language is not null").withColumn("test", P.is_test_file().cast("int"))
     per = rows.rollup("language").agg(
         F.count_if(F.col("test") == 0).alias("source_files"), F.count_if(F.col("test") == 1).alias("test_files"),
         F.coalesce(F.sum(F.when(F.col("test") == 0, F.col("code"))), F.lit(0)).alias("source_lines"), F.coalesce(F.sum(F.when(F.col("test") == 1, F.col("code"))), F.lit(0)).alias("test_lines"),
@@ -97,7 +107,7 @@ BLOAT = (
 
 def bloat(files: DataFrame, top: int = 30) -> DataFrame:
     """The largest files that are no source, and all suspicious ones."""
-    rows = files.select(F.col("path").alias("name"), _bytes().alias("size_bytes"))
+    rows = _sized(files).select(F.col("path").alias("name"), F.col("bytes").alias("size_bytes"))
     rows = rows.filter(~(P.extension(F.col("name")).isin(*SOURCE_EXT) & (F.col("size_bytes") < 20 * MB)))
     advice = F.when(F.col("size_bytes") >= 5 * MB, "very_large_file").when(F.col("size_bytes") >= 500 << 10, "large_file").otherwise("ok")
     for pattern, code in reversed(BLOAT):
@@ -120,7 +130,7 @@ def functions(files: DataFrame, most: int = 512 << 10) -> DataFrame:
             yield pd.DataFrame([f for p, t in zip(part["path"], part["content"], strict=True) for f in structure.functions(p, t)], columns=columns)
 
     known = F.lower(P.extension(F.col("path"))).isin(*structure.EXT)
-    return _files(files, most).filter(known).mapInPandas(run, _FUNCTION)
+    return _texts(files, most).filter(known).mapInPandas(run, _FUNCTION)
 
 
 def complexity(files: DataFrame, cap: int = 200) -> DataFrame:
@@ -151,7 +161,7 @@ def doc_coverage(files: DataFrame, least: int = 3, cap: int = 200) -> DataFrame:
             yield pd.DataFrame([(p, *structure.documented(p, t), structure.language(p)) for p, t in zip(part["path"], part["content"], strict=True)], columns=["path", "public_items", "documented", "language"])
 
     known = F.lower(P.extension(F.col("path"))).isin(*[e for e, n in structure.EXT.items() if n in structure.METRIC])
-    rows = _files(files, 512 << 10).filter(known & P.is_source("path")).mapInPandas(run, "path string, public_items long, documented long, language string").filter(F.col("public_items") >= least)
+    rows = _texts(files, 512 << 10).filter(known & P.is_source("path")).mapInPandas(run, "path string, public_items long, documented long, language string").filter(F.col("public_items") >= least)
     pct = F.round(F.lit(100.0) * F.col("documented") / F.col("public_items")).cast("long")
     advice = F.when(pct <= 24, "poor").when(pct <= 59, "low").when(pct <= 84, "ok").otherwise("good")
     return rows.select(F.col("path").alias("name"), "public_items", "documented", pct.alias("coverage_pct"), "language", advice.alias("recommendation")).orderBy("coverage_pct", F.desc("public_items"), "name").limit(cap)
@@ -164,7 +174,7 @@ def constructs(files: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame([(p, i.qualified, i.kind, i.start, i.end) for p, t in zip(part["path"], part["content"], strict=True) for i in structure.items(p, t)], columns=["path", "qualified_name", "kind", "start_line", "end_line"])
 
-    return _files(files, 512 << 10).mapInPandas(run, "path string, qualified_name string, kind string, start_line long, end_line long")
+    return _texts(files, 512 << 10).mapInPandas(run, "path string, qualified_name string, kind string, start_line long, end_line long")
 
 
 _IMPORT_PY = r"(?m)^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))"
@@ -186,7 +196,7 @@ def imports(files: DataFrame) -> DataFrame:
     Candidates of a statement are probed in order; the first that exists wins.
     """
     ext = P.extension(F.col("path"))
-    rows = _files(files, 200 << 10).filter(ext.isin(*IMPORTERS) & P.is_source("path")).select("path", "content", ext.alias("ext"))
+    rows = _texts(files, 200 << 10).filter(ext.isin(*IMPORTERS) & P.is_source("path")).select("path", "content", ext.alias("ext"))
 
     def either(pattern: str) -> Column:
         """The one of two groups that each match filled."""
@@ -230,29 +240,49 @@ def dead_code(files: DataFrame, cap: int = 200) -> DataFrame:
     return seen.join(used, "path", "left_anti").select(F.col("path").alias("name"), P.extension(path).alias("extension")).orderBy("name").limit(cap)
 
 
-MARKER = r"(?i)\b(TODO|FIXME|HACK|XXX)\b(?:\(([^)]+)\))?\s*[:\-]?\s*(.*)"
+_MARKED = r"(?i)\b(TODO|FIXME|HACK|XXX)\b"
+MARKER = re.compile(_MARKED + r"(?:\(([^)]+)\))?\s*[:\-]?\s*(.*)")
+#: Files whose lines are blamed: those with the most markers.
+BLAMED_FILES = 150
 
 
-def debt_markers(files: DataFrame, blame: DataFrame | None = None, as_of: str | None = None, cap: int = 200) -> DataFrame:
-    """Markers in comment lines; with ``blame(path, line_start, len, author, commit_ts)`` their age and author."""
+def markers(files: DataFrame) -> DataFrame:
+    """``(path, line, marker, owner, text)``: markers on comment lines, or behind a comment token of the language."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, text in zip(part["path"], part["content"], strict=True):
-                lines = text.split("\n")
-                rows += [(path, k + 1, line) for k, (line, kind) in enumerate(zip(lines, classify(text, detect(path, text)), strict=False)) if kind == "comment"]
-            yield pd.DataFrame(rows, columns=["path", "line", "raw"])
-
-    marked = _files(files, 500 << 10).filter(F.col("content").rlike(r"(?i)\b(TODO|FIXME|HACK|XXX)\b"))
-    hits = marked.mapInPandas(run, "path string, line long, raw string").filter(F.col("raw").rlike(MARKER))
-    part = lambda k: F.regexp_extract("raw", MARKER, k)
-    rows = hits.select("path", "line", F.upper(part(1)).alias("marker"), part(2).alias("owner"), F.left(F.trim(part(3)), F.lit(120)).alias("text"))
+            for path, content in zip(part["path"], part["content"], strict=True):
+                if (lang := languages().get(detect(path, content) or "")) is None:
+                    continue
+                tokens = [*lang.line, *(a for a, _ in lang.block)]
+                for k, (line, kind) in enumerate(zip(content.split("\n"), classify(content, lang.name), strict=False), 1):
+                    if (m := MARKER.search(line)) and (kind == "comment" or any(t in line[: m.start()] for t in tokens)):
+                        rows.append((path, k, m[1].upper(), m[2] or "", P.snippet(m[3].strip())))
+            yield pd.DataFrame(rows, columns=["path", "line", "marker", "owner", "text"])
+
+    return _texts(files, 500 << 10).filter(F.col("content").rlike(_MARKED)).mapInPandas(run, "path string, line long, marker string, owner string, text string")
+
+
+def debt_markers(files: DataFrame, blame: DataFrame | Callable[[DataFrame], DataFrame] | None = None, as_of: str | None = None, cap: int = 200) -> DataFrame:
+    """Markers with the age and author of their lines.
+
+    ``blame(path, line_start, len, author, commit_ts)``, or a function that blames the paths it is given: the source
+    files among the ``BLAMED_FILES`` with the most markers.
+    """
+    rows = markers(files)
+    unknown = {"author": F.lit("<not-blamed>"), "age_days": F.lit(-1).cast("long")}
     if blame is None:
-        rows = rows.withColumns({"author": F.lit("<not-blamed>"), "age_days": F.lit(-1).cast("long")})
+        rows = rows.withColumns(unknown)
     else:
-        span = blame.select(F.col("path").alias("p"), "author", "commit_ts", F.explode(F.sequence("line_start", F.col("line_start") + F.col("len") - 1)).alias("l"))
-        rows = rows.join(span, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left")
+        if callable(blame):
+            rows = rows.cache()
+            most = rows.groupBy("path").count().orderBy(F.desc("count"), "path").limit(BLAMED_FILES).filter(P.is_source("path"))
+            blame = blame(most.select("path"))
+        spans = blame.select(F.col("path").alias("p"), "author", "commit_ts", "line_start", F.col("len").alias("n"))
+        # a line meets the spans of its own file alone; spans are not taken apart
+        on = (F.col("path") == F.col("p")) & (F.col("line") >= F.col("line_start")) & (F.col("line") < F.col("line_start") + F.col("n"))
+        rows = rows.join(spans, on, "left")
         rows = rows.withColumns({"author": F.coalesce("author", F.lit("<not-blamed>")), "age_days": F.coalesce(F.datediff(F.lit(as_of), "commit_ts").cast("long"), F.lit(-1).cast("long"))})
     a = F.col("age_days")
     band = F.when(a < 0, "age_unknown").when(a < 30, "fresh").when(a < 180, "aging").when(a < 365, "stale").otherwise("rotten")
@@ -260,11 +290,15 @@ def debt_markers(files: DataFrame, blame: DataFrame | None = None, as_of: str |
     return rows.select(name.alias("name"), "marker", "age_days", "author", "owner", "text", band.alias("recommendation")).orderBy(F.desc("age_days"), "name").limit(cap)
 
 
-def half_life(blame: DataFrame, as_of: str, ancient_days: int = 180, cap: int = 50) -> DataFrame:
-    """Share of lines at least ``ancient_days`` old, over the first ``cap`` paths of source files."""
-    source = blame.filter(P.is_source("path"))
-    first = source.select("path").distinct().orderBy("path").limit(cap)
-    rows = source.join(F.broadcast(first), "path", "left_semi")  # ``cap`` rows
+def aged_paths(files: DataFrame, cap: int = 50) -> DataFrame:
+    """``path`` of the files whose lines get an age: source files among the first ``cap`` small ones of known extensions."""
+    small = _sized(files).filter((F.col("bytes") <= P.AGED_BYTES) & P.extension(F.col("path")).isin(*P.AGED_EXT))
+    return small.select("path").orderBy("path").limit(cap).filter(P.is_source("path"))
+
+
+def half_life(blame: DataFrame, as_of: str, ancient_days: int = 180, paths: DataFrame | None = None) -> DataFrame:
+    """Share of lines at least ``ancient_days`` old in each blamed file, or in those of ``paths`` (see ``aged_paths``)."""
+    rows = blame if paths is None else blame.join(F.broadcast(paths), "path", "left_semi")  # at most 50 paths
     days = F.datediff(F.lit(as_of), "commit_ts")
     per = rows.groupBy("path").agg(F.sum("len").alias("total_lines"), F.sum(F.when(days >= ancient_days, F.col("len")).otherwise(0)).alias("ancient_lines"), F.max(days).cast("long").alias("oldest_age_days"))
     pct = F.floor(F.lit(100) * F.col("ancient_lines") / F.col("total_lines")).cast("long")
@@ -280,26 +314,31 @@ def branches(refs: DataFrame, as_of: str) -> DataFrame:
     return refs.withColumn("days_since", days).select(status.alias("group"), "name", "last_commit", "days_since", "author", "merged", "is_head", status.alias("recommendation"))
 
 
-def ancestors(edges: DataFrame, head: DataFrame, most: int = 10_000) -> DataFrame:
+def ancestors(edges: DataFrame, head: DataFrame, most: int = 10_000, reach: int = 64) -> DataFrame:
     """``oid`` of all ancestors of ``head(oid)`` over ``edges(oid, parent)``, heads included.
 
-    Path doubling: round k joins pairs 2^k steps apart with themselves, so the rounds are logarithmic in the depth.
-    Rounds cut their lineage in the checkpoint folder; only a row count reaches the driver.
+    A frontier of newly reached commits advances; the edge table never grows, whatever merges it has. Where a chain has
+    one parent a commit, up to ``reach`` steps are taken at once by jump pointers, so long lines of work need few rounds.
+    Rounds cut their lineage in the checkpoint folder; only row counts reach the driver.
     """
     cut = cluster.cut
-    reach = head.select("oid").distinct()
-    hop = edges.select("oid", "parent").distinct()
-    size, rounds = -1, 0
-    while rounds < most:
-        reach = cut(reach.unionByName(reach.join(hop, "oid").select(F.col("parent").alias("oid"))).distinct())
-        n = reach.count()
-        if n == size:
-            return reach
-        size, rounds = n, rounds + 1
-        two = hop.alias("a").join(hop.alias("b"), F.col("a.parent") == F.col("b.oid")).select("a.oid", "b.parent")
-        hop = cut(two.distinct())
-        if not hop.take(1):
-            return reach
+    edges = cut(edges.select("oid", "parent").distinct())
+    # jump pointers: for commits with one parent, the commit 2^k single steps on and all between (one row a commit and step)
+    single = edges.groupBy("oid").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).filter("n = 1").select("oid", "parent")
+    steps = single.select("oid", F.col("parent").alias("last"), F.array("parent").alias("way"))
+    for _ in range(max(0, reach.bit_length() - 1)):
+        on = steps.select(F.col("oid").alias("last"), F.col("last").alias("then"), F.col("way").alias("more"))
+        steps = cut(steps.join(on, "last", "left").select("oid", F.coalesce("then", "last").alias("last"), F.concat("way", F.coalesce("more", F.array().cast(on.schema["more"].dataType))).alias("way")))
+    merges = edges.join(single.select("oid"), "oid", "left_anti").select("oid", F.array("parent").alias("way"))
+    ways = cut(steps.select("oid", "way").unionByName(merges))
+    seen = cut(head.select("oid").distinct())
+    front = seen
+    for _ in range(most):
+        found = front.join(ways, "oid").select(F.explode("way").alias("oid")).distinct()
+        front = cut(found.join(seen, "oid", "left_anti"))
+        if not front.take(1):
+            return seen
+        seen = cut(seen.unionByName(front))
     raise ValueError("the history is deeper than the round limit allows")
 
 

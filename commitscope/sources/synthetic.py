@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
+from commitscope.cluster import stage
+
 _OWNER = "CASE WHEN (l.l_partkey*7 + o.o_orderkey) % 10 < (l.l_partkey % 11) THEN CONCAT('own', CAST(l.l_partkey % 37 AS STRING), '@ex.com') ELSE CONCAT('dev', CAST(o.o_orderkey % 20 AS STRING), '@ex.com') END"
 _STATUS = "MAX(CASE WHEN l.l_linestatus='F' AND l.l_partkey % 97 = 0 THEN 2 WHEN l.l_linenumber = 1 THEN 0 ELSE 1 END) AS status"
 _LINES = "CAST(SUM(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS additions, CAST(SUM(CAST(FLOOR(l.l_extendedprice) AS BIGINT) % 13) AS BIGINT) AS deletions"
@@ -46,7 +51,24 @@ _TABLES = {
 }
 
 
+_held: dict[tuple[str, str], DataFrame] = {}
+
+
+@contextmanager
+def shared_views(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> Iterator[None]:
+    """Within it, ``view`` gives these views as written tables, so that several plans over them do not build them anew."""
+    mine = {(sf_dir, n): stage(view(spark, sf_dir, n)) for n in names}
+    _held.update(mine)
+    try:
+        yield
+    finally:
+        for key in mine:
+            _held.pop(key, None)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if (sf_dir, name) in _held:
+        return _held[sf_dir, name]
     for table in _TABLES[name].split():
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     if name == "constructs":
