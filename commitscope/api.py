@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import json
 import re
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from commitscope.functions import languages
 from commitscope.plans import history, tree
-from commitscope.scoring.health import health
+from commitscope.scoring.health import whole
 from commitscope.sinks import writers
 from commitscope.sources import git
 
@@ -24,17 +27,32 @@ ALIASES = {
     "tests": "test_ratio", "branch": "branches",
 }
 HEAVY = {"half_life"}
+#: Reports of the caller's own, by name.
+OWN: dict[str, Callable[[Tables, str], DataFrame]] = {}
+
+
+def report(name: str) -> Callable:
+    """Registers a function of (tables, as_of) as a report of its own: ``only`` and the writers then know its name."""
+
+    if name in REPORTS:
+        raise ValueError(f"there is a report {name} already")
+
+    def keep(build: Callable[[Tables, str], DataFrame]) -> Callable[[Tables, str], DataFrame]:
+        OWN[name] = build
+        return build
+
+    return keep
 
 
 def report_names(only: str | None = None) -> list[str]:
     """The reports that a comma-separated list names; without one all but the heavy ones."""
     if only is None:
-        return [r for r in REPORTS if r not in HEAVY]
+        return [r for r in REPORTS if r not in HEAVY] + list(OWN)
     out = []
     for part in filter(None, (x.strip() for x in only.split(","))):
         low = part.lower()
         name = ALIASES.get(low) or ALIASES.get(low.replace("-", "_")) or low.replace("-", "_")
-        if name not in REPORTS:
+        if name not in REPORTS and name not in OWN:
             raise ValueError(f"Unknown report kind: '{part}'")
         out.append(name)
     if not out:
@@ -79,6 +97,14 @@ def time_range(since: str | None, date_from: str | None, date_to: str | None) ->
     return {}
 
 
+def _seconds(span: dict) -> dict:
+    """Bounds in epoch seconds, a day wider than the days of ``history.time_range``."""
+    day = lambda x: int(dt.datetime.fromisoformat(x).replace(tzinfo=dt.UTC).timestamp())
+    if "since_days" in span:
+        return {"start": day(span["as_of"]) - (span["since_days"] + 1) * 86_400}
+    return {"start": day(span["start"]) - 86_400, "end": day(span["end"]) + 2 * 86_400} if span else {}
+
+
 class Tables:
     """The tables of one repository, each built when first asked for; ``changes`` and ``head_files`` are cached."""
 
@@ -92,12 +118,13 @@ class Tables:
             if self.repo is None:
                 raise ValueError(f"this needs the table {name}")
             if name == "changes":
-                rows = git.changes(self.spark, self.repo).cache()
+                # only commits of the days in question are read; the exact range is the report's own filter
+                rows = git.changes(self.spark, self.repo, **_seconds(self.span)).cache()
                 self.held[name] = history.time_range(rows, **self.span) if self.span else rows
             elif name == "constructs":
                 self.held[name] = git.constructs(self.spark, self.repo, self.changes).cache()
             elif name == "blame":
-                self.held[name] = git.blame(self.spark, self.repo, self.head_files).cache()
+                self.held[name] = git.blame(self.spark, self.repo, tree.aged_paths(self.head_files)).cache()
             else:
                 df = getattr(git, name)(self.spark, self.repo)
                 self.held[name] = df.cache() if name == "head_files" else df
@@ -106,9 +133,11 @@ class Tables:
 
 def build(name: str, t: Tables, as_of: str) -> DataFrame:
     """The lazy plan of one report."""
+    if name in OWN:
+        return OWN[name](t, as_of)
     if name == "health":
         rest = {n: build(n, t, as_of) for n in REPORTS if n not in HEAVY | {"health"}}
-        return health(rest)
+        return whole(rest, git.git_folder(t.repo) if t.repo else None)
     if name in ("authors", "churn", "ownership", "coupling", "module_coupling", "patterns", "outliers", "quality", "churn_pareto", "commit_velocity", "commit_size"):
         return getattr(history, name)(t.changes)
     if name in ("age", "succession", "knowledge_silos"):
@@ -116,9 +145,10 @@ def build(name: str, t: Tables, as_of: str) -> DataFrame:
     if name in ("hotspots", "construct_churn", "construct_ownership"):
         return getattr(history, name)(t.changes, t.constructs)
     if name in ("half_life",):
-        return tree.half_life(t.blame, as_of)
+        return tree.half_life(t.blame, as_of, paths=tree.aged_paths(t.head_files) if "head_files" in t.held else None)
     if name == "debt_markers":
-        return tree.debt_markers(t.head_files, t.blame, as_of)
+        blame = t.blame if t.repo is None else lambda paths: git.blame(t.spark, t.repo, paths)
+        return tree.debt_markers(t.head_files, blame, as_of)
     if name == "branches":
         return tree.branches(t.refs, as_of)
     return getattr(tree, name)(t.head_files)
@@ -148,17 +178,27 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--top", type=int)
     p.add_argument("--as-of")
     p.add_argument("--quick-composition", action="store_true")
+    p.add_argument("--languages", help="a JSON5 table of more languages")
+    p.add_argument("--locale", help="a JSON file of texts by code, or en")
     a = p.parse_args(argv)
     try:
         report_names(a.only), time_range(a.since, a.date_from, a.date_to)
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    if a.locale and a.locale != "en":
+        writers.read_texts(a.locale)
+    if not a.quick_composition:
+        git.whole(a.repo, lambda: sys.stdin.isatty() and input(f"{a.repo} is a shallow clone; fetch its whole history now? [y/N] ").strip().lower() in ("y", "yes"))
     spark = SparkSession.builder.appName("commitscope").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.languages:
+        languages.use(spark, a.languages)
     if a.quick_composition:
-        found = {"quick_composition": tree.quick_composition(git.files_on_disk(spark, a.repo))}
-    else:
-        found = analyze(spark, a.repo, a.only, a.since, a.date_from, a.date_to, a.as_of)
+        rows = [r.asDict() for r in tree.quick_composition(git.files_on_disk(spark, a.repo)).limit(a.top or 1 << 30).collect()]  # a row a language
+        out = json.dumps(rows, indent=2)
+        Path(a.output).write_text(out, encoding="utf-8") if a.output else print(out)
+        return 0
+    found = analyze(spark, a.repo, a.only, a.since, a.date_from, a.date_to, a.as_of)
     reports = [writers.Report.of(n, df) for n, df in found.items()]
     if a.format == "csv" and a.output:
         for r, path in zip(reports, writers.csv_paths(a.output, [r.name for r in reports]).values(), strict=True):

@@ -20,6 +20,11 @@ GROUPED = {"patterns", "commit_velocity", "commit_size", "branches", "health"}
 TEXTS: dict[str, str] = {"shown": "({{shown}} of {{total}} shown; use --top to change)", "no_data": "(no data)", "title": "Repository analysis", "generated": "Generated {{at}}"}
 
 
+def read_texts(path: str) -> None:
+    """Adds the texts of a JSON file, ``code -> text``, to the catalog; they replace those of the same codes."""
+    TEXTS.update(json.loads(Path(path).read_text(encoding="utf-8")))
+
+
 def text(code: str, **parameters: object) -> str:
     """The catalog's text of a code with its parameters put in; a code that it lacks stands for itself."""
     out = TEXTS.get(code, code)

@@ -6,8 +6,10 @@ each, so the repository must be under a path that all executors see. The command
 
 from __future__ import annotations
 
+import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -75,11 +77,28 @@ def parse_log(out: bytes) -> list[tuple]:
     return rows
 
 
-def changes(spark: SparkSession, repo: str, head: str = "HEAD") -> DataFrame:
-    """One row a commit and file against the first parent: the reports' ``changes`` and the file's blob id."""
+def whole(repo: str, agreed: Callable[[], bool]) -> None:
+    """Fetches the whole history of a shallow clone if ``agreed()``; all branches of a single-branch clone come with it."""
+    if git(repo, "rev-parse", "--is-shallow-repository").strip() == b"true" and agreed():
+        if b"origin" in git(repo, "remote").split():
+            git(repo, "remote", "set-branches", "origin", "*")
+        git(repo, "fetch", "-q", "--unshallow")
+
+
+def commits(repo: str, head: str = "HEAD", start: int | None = None, end: int | None = None) -> list[str]:
+    """Commit ids in the order of the history whose author time lies in [start, end) (epoch seconds)."""
+    rows = (x.split() for x in git(repo, "log", "--format=%H %at", head).decode().splitlines())
+    return [oid for oid, ts in rows if (start is None or int(ts) >= start) and (end is None or int(ts) < end)]
+
+
+def changes(spark: SparkSession, repo: str, head: str = "HEAD", start: int | None = None, end: int | None = None) -> DataFrame:
+    """One row a commit and file against the first parent: the reports' ``changes`` and the file's blob id.
+
+    Only commits whose author time lies in [start, end) are compared with their parents.
+    """
     ship(spark)
     require_whole(repo)
-    oids = git(repo, "rev-list", head).decode().split()
+    oids = commits(repo, head, start, end)
     parts = max(1, -(-len(oids) // BATCH))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +122,8 @@ def constructs(spark: SparkSession, repo: str, rows: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = []
-            for r, text in zip(frame.itertuples(), blobs(repo, frame["blob"]), strict=True):
-                if text is not None and len(text) <= MOST_BYTES:
+            for r, text in zip(frame.itertuples(), blobs(repo, frame["blob"], MOST_BYTES), strict=True):
+                if text is not None:
                     found += [(r.commit_oid, r.file_path, i.qualified, i.kind, i.end - i.start + 1) for i in structure.items(r.file_path, _text(text)) if i.start <= r.additions]
             yield pd.DataFrame(found, columns=["commit_oid", "file_path", "qualified_name", "kind", "lines_touched"])
 
@@ -112,9 +131,15 @@ def constructs(spark: SparkSession, repo: str, rows: DataFrame) -> DataFrame:
     return rows.filter(known & (F.col("status") != 2)).select("commit_oid", "file_path", "additions", "blob").mapInPandas(run, "commit_oid string, file_path string, qualified_name string, kind string, lines_touched long")
 
 
-def blobs(repo: str, oids) -> Iterator[bytes | None]:
-    """Contents by blob id, in order; None for what is no blob."""
+def blobs(repo: str, oids, most: int | None = None) -> Iterator[bytes | None]:
+    """Contents by blob id, in order; None for what is no blob. Blobs over ``most`` bytes are not read, and None as well."""
     oids = list(oids)
+    if most is not None and oids:
+        kinds = git(repo, "cat-file", "--batch-check=%(objecttype) %(objectsize)", data="\n".join(oids).encode() + b"\n").splitlines()
+        small = [k[:5] == b"blob " and int(k[5:]) <= most for k in kinds]
+        read = blobs(repo, [o for o, s in zip(oids, small, strict=True) if s])
+        yield from (next(read) if s else None for s in small)
+        return
     out = git(repo, "cat-file", "--batch", data="\n".join(oids).encode() + b"\n") if oids else b""
     at = 0
     for _ in oids:
@@ -129,25 +154,40 @@ def blobs(repo: str, oids) -> Iterator[bytes | None]:
         at = end + 2 + size
 
 
-def head_files(spark: SparkSession, repo: str, head: str = "HEAD") -> DataFrame:
-    """``(path, oid, size, content)`` of the tree's blobs; content decoded leniently."""
+def decoded(data: bytes) -> tuple[str | None, bool]:
+    """(text, binary): binary with a NUL byte in the first 8 KiB or where the bytes are no UTF-8; then there is no text."""
+    try:
+        return (None, True) if b"\0" in data[:8192] else (data.decode("utf-8"), False)
+    except UnicodeDecodeError:
+        return None, True
+
+
+def head_files(spark: SparkSession, repo: str, head: str = "HEAD", most: int = 20 << 20) -> DataFrame:
+    """``(path, oid, size, binary, content)`` of the tree's blobs.
+
+    ``size`` is the blob's own; blobs over ``most`` bytes, more than any report reads, are not read and have no content.
+    """
     ship(spark)
     entries = []
     for line in git(repo, "ls-tree", "-r", "-l", "-z", head).split(b"\0"):
         if line:
             meta, _, path = line.partition(b"\t")
-            _, kind, oid, size = meta.split()
-            if kind == b"blob":
+            mode, kind, oid, size = meta.split()
+            if kind == b"blob" and mode != b"120000":  # no symbolic links
                 entries.append((_text(path), oid.decode(), int(size)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 64):
-                part = frame.iloc[at : at + 64]
-                yield part.assign(content=[_text(x or b"") for x in blobs(repo, part["oid"])])
+            at = 0
+            while at < len(frame):  # up to 64 files and about 64 MB at a time
+                end = at + max(1, int((frame["size"].iloc[at : at + 64].clip(upper=most).cumsum() <= 64 << 20).sum()))
+                part = frame.iloc[at:end]
+                found = [decoded(x) if x is not None else (None, False) for x in blobs(repo, part["oid"], most)]
+                yield part.assign(binary=[b for _, b in found], content=[t for t, _ in found])
+                at = end
 
     named = spark.createDataFrame(entries, "path string, oid string, size long").repartition(max(1, -(-len(entries) // BATCH)))
-    return named.mapInPandas(run, "path string, oid string, size long, content string")
+    return named.mapInPandas(run, "path string, oid string, size long, binary boolean, content string")
 
 
 def refs(spark: SparkSession, repo: str) -> DataFrame:
@@ -205,10 +245,50 @@ def parse_blame(path: str, out: bytes) -> list[tuple]:
     return [(path, start, n, *known[oid]) for oid, start, n in rows]
 
 
+# Folders that are no part of a composition of files on disk.
+SKIPPED_DIRS = [
+    # version control
+    ".git", ".hg", ".svn",
+    # dependencies and output
+    "node_modules", "target", "dist", "build", "out",
+    # Python
+    ".venv", "venv", "__pycache__",
+    # web frameworks, caches, editors
+    ".next", ".nuxt", ".cache", ".gradle", ".idea", ".vscode",
+    # others' code
+    "vendor", "bower_components",
+]
+
+
 def files_on_disk(spark: SparkSession, root: str, most: int = 2 << 20) -> DataFrame:
-    """``(path, content)`` of a folder's files, for compositions without a history; hidden and dependency folders are left out."""
-    skip = "node_modules target dist build vendor venv __pycache__ bower_components".split()
+    """``(path, size, binary, content)`` of a folder's files, for compositions without a history; larger ones are left out.
+
+    Symbolic links are not followed where the folder is on a local disk.
+    """
+    ship(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", "\\.") + "/", "")
-    found = found.filter((F.col("length") > 0) & (F.col("length") <= most)).select(inner.alias("path"), F.col("content").cast("string").alias("content"))
-    return found.filter(~F.col("path").rlike(r"(^|/)(\.[^/]+|" + "|".join(skip) + r")/"))
+    inner = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    found = found.filter((F.col("length") > 0) & (F.col("length") <= most)).select(inner.alias("path"), F.col("length").alias("size"), "content")
+    found = found.filter(~F.col("path").rlike(r"(^|/)(" + "|".join(re.escape(x) for x in SKIPPED_DIRS) + r")/"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[[not _linked(root, x) for x in frame["path"]]]
+            texts = [decoded(x) for x in frame["content"]]
+            yield frame.assign(binary=[b for _, b in texts], content=[t for t, _ in texts])
+
+    return found.mapInPandas(run, "path string, size long, content string, binary boolean")
+
+
+def _linked(root: str, path: str) -> bool:
+    at = Path(root)
+    return any((at := at / part).is_symlink() for part in path.split("/"))
+
+
+def git_folder(repo: str) -> dict[str, int]:
+    """Bytes of the git folder, its pack files and its loose objects."""
+    top = Path(_text(git(repo, "rev-parse", "--absolute-git-dir").strip()))
+    size = sum(x.lstat().st_size for x in top.rglob("*") if not x.is_dir())
+    packs = sum(x.suffix.lower() == ".pack" for x in (top / "objects/pack").glob("*"))
+    loose = sum(1 for d in (top / "objects").glob("[0-9a-fA-F][0-9a-fA-F]") for _ in d.iterdir())
+    return {"bytes": size, "packs": packs, "loose": loose}

@@ -60,7 +60,7 @@ def test_changes(spark, repo):
 
 def test_tree_refs_blame_and_ancestors(spark, repo):
     files = {r.path: r for r in git.head_files(spark, repo).collect()}
-    assert set(files) == {"Cargo.lock", "src/core.rs", "src/util.rs", "tab\tname \u00e9.py"} and files["src/util.rs"].content.startswith("pub fn go")
+    assert set(files) == {"Cargo.lock", "src/core.rs", "src/util.rs", "tab\tname \u00e9.py"} and files["src/util.rs"].content.startswith("pub fn go") and not files["src/util.rs"].binary
     refs = {r.name: r for r in git.refs(spark, repo).collect()}
     assert set(refs) == {"main", "side", "topic"} and refs["side"].merged == "yes" and refs["main"].is_head == "yes" and refs["side"].last_commit == dt.date(2025, 2, 1)
     spans = [(r.line_start, r.len, r.author) for r in git.blame(spark, repo, git.head_files(spark, repo).filter("path = 'src/util.rs'")).collect()]
@@ -79,7 +79,22 @@ def test_every_report_runs(spark, repo):
     assert {r["name"]: r.fan_in for r in rows["fan_in_out"]}["src/util.rs"] == 1
     assert any(r["name"] == "src/util.rs::go" for r in rows["construct_churn"])
     assert {r["name"] for r in rows["health"]} >= {"overall", *scoring.PILLARS}
-    assert all(20 <= r.score <= 100 for r in rows["health"])
+    assert all(20 <= r.score <= 100 for r in rows["health"] if r.score is not None)
+    assert {r["group"] for r in rows["health"]} >= {"overall", "pillars", "insights"} and any(r["name"] == "team" and r.details == "team total=2" for r in rows["health"])
+
+
+def test_reports_of_the_caller(spark, repo, monkeypatch):
+    monkeypatch.setattr(api, "OWN", {})
+
+    @api.report("first_commits")
+    def first_commits(tables, as_of):
+        return tables.changes.groupBy("email").agg({"commit_ts": "min"}).toDF("name", "first")
+
+    got = api.analyze(spark, repo, "first_commits,authors", as_of="2026-01-01")
+    assert list(got) == ["first_commits", "authors"] and got["first_commits"].count() == 2
+    assert "first_commits" in api.report_names()
+    with pytest.raises(ValueError, match="already"):
+        api.report("churn")
 
 
 def test_time_ranges(spark, repo):
@@ -148,7 +163,8 @@ def test_scores(spark):
     assert got["refactoring_debt"] == 50.0
     with pytest.raises(ValueError):
         scoring.health({})
-    assert [r.pillar for r in scoring.actions({"complexity": many}).collect()] == ["refactoring_debt"] * 3
+    many = many.withColumn("lines", many["cyclomatic"])
+    assert [(r["name"], r.details) for r in scoring.findings({"complexity": many}).collect()] == [(f"refactoring_debt: f{k}", "high_complexity cc=30 lines=30") for k in (0, 1, 10)]
 
 
 def test_streams(spark, tmp_path):
@@ -157,11 +173,62 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
 
     def run(plan, name):
-        q = plan(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName(name).outputMode("complete" if name == "weekly" else "append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q = plan(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.table(name).collect()
 
+    later = [("z", dt.datetime(2025, 6, 1), "x", 1, 0)]  # moves the watermark past the weeks before
+    spark.createDataFrame(later, schema).write.mode("append").parquet(f"{tmp_path}/in")
     weekly = {str(r.week): (r.commits, r.lines_changed) for r in run(incremental.weekly_velocity, "weekly")}
     assert weekly == {"2025-01-06": (2, 7), "2025-01-13": (1, 10)}
-    assert sorted(r.commit_oid for r in run(incremental.first_rows, "firsts")) == ["a", "b", "c"]
+    assert sorted(r.commit_oid for r in run(incremental.first_rows, "firsts")) == ["a", "b", "c", "z"]
     assert len(incremental.author_sessions(spark.createDataFrame(rows, schema)).collect()) == 3
+    churn = incremental.file_churn(spark.createDataFrame([("f", 1, 2), ("f", 3, 4), ("g", 5, 0)], "file_path string, additions long, deletions long"))
+    assert {tuple(r) for r in churn.collect()} == {("f", 4, 6, 10), ("g", 5, 0, 5)}
+
+
+def test_sizes_are_those_of_the_blobs(spark, tmp_path):
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
+
+    run("init", "-q")
+    data = bytes((k * 7 + 128) % 256 or 1 for k in range(400_000))  # no NUL, no UTF-8
+    (tmp_path / "raw.dat").write_bytes(data)
+    (tmp_path / "nul.dat").write_bytes(b"a\0b")
+    (tmp_path / "x.py").write_text("x = 1\n")
+    (tmp_path / "link.py").symlink_to("x.py")
+    run("add", "."), run("commit", "-qm", "one")
+    files = {r.path: r for r in git.head_files(spark, str(tmp_path)).collect()}
+    assert (files["raw.dat"].size, files["raw.dat"].binary, files["raw.dat"].content) == (400_000, True, None)
+    assert files["nul.dat"].binary and not files["x.py"].binary and "link.py" not in files
+    table = git.head_files(spark, str(tmp_path))
+    got = {r["name"]: (r.files, r.bytes) for r in tree.composition(table).collect()}
+    assert got == {"Python": (1, 6), "(binary/skipped)": (2, 0)}
+    assert tree.bloat(table).count() == 0
+    assert list(git.blobs(str(tmp_path), [files["raw.dat"].oid, files["x.py"].oid], 1000)) == [None, b"x = 1\n"]
+    assert git.git_folder(str(tmp_path))["loose"] > 3
+
+
+def test_markers_behind_code_and_long_texts(spark):
+    text = 'x = 1  # TODO: later\ny = "FIXME in a string"\n# hack(me) - ' + "\u00e9" * 100 + "\n"
+    files = spark.createDataFrame([("a.py", text), ("b.unknown", "# TODO: nothing")], "path string, content string")
+    got = sorted((r["name"], r.marker, r.owner, r.text) for r in tree.debt_markers(files).collect())
+    assert got == [("a.py:1", "TODO", "", "later"), ("a.py:3", "HACK", "me", "\u00e9" * 60 + "\u2026")]
+
+
+def test_ancestors_over_merges_and_long_chains(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(k, k - 1) for k in range(1, 400)] + [(k, rng.randrange(k)) for k in range(300, 400, 3)] + [(1000 + k, 1000 + k - 1) for k in range(1, 150)] + [(1149, 77)]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+    want, todo = set(), [1149, 350]
+    while todo:
+        if (x := todo.pop()) not in want:
+            want.add(x)
+            todo += up.get(x, ())
+    frame = spark.createDataFrame(edges, "oid long, parent long")
+    got = [r.oid for r in tree.ancestors(frame, spark.createDataFrame([(1149,), (350,)], "oid long")).collect()]
+    assert sorted(got) == sorted(want)
