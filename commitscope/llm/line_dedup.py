@@ -194,16 +194,16 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """Every line has a word, so each long run is the union of its sub-runs of at most five lines that have five words."""
-    runs = " UNION ALL ".join(f"SELECT doc_id, at, {m} AS m, list(t) OVER w AS run, sum(n) OVER w AS n FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)" for m in range(1, MIN_WORDS + 1))
+    runs = " UNION ALL ".join(f"SELECT doc_id, place, {m} AS m, list(t) OVER w AS run, sum(n) OVER w AS n FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)" for m in range(1, MIN_WORDS + 1))
     return f"""
 WITH raw AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL),
 trimmed AS (SELECT doc_id, line, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM raw),
-solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n FROM trimmed WHERE t <> ''),
-runs AS (SELECT doc_id, at, m, run FROM ({runs}) WHERE len(run) = m AND n >= {MIN_WORDS}),
-sources AS (SELECT m, run, min({{'d': doc_id, 'at': at}}) AS first FROM runs GROUP BY m, run HAVING count(*) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + m)) AS at FROM runs JOIN sources USING (m, run) WHERE {{'d': doc_id, 'at': at}} > first),
-texts AS (SELECT raw.doc_id, count(gone.at) AS gone, count(solid.at) AS solid, string_agg(x, chr(10) ORDER BY raw.line) FILTER (gone.at IS NULL) AS rest
-    FROM raw LEFT JOIN solid USING (doc_id, line) LEFT JOIN gone ON gone.doc_id = solid.doc_id AND gone.at = solid.at GROUP BY raw.doc_id)
+solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n FROM trimmed WHERE t <> ''),
+runs AS (SELECT doc_id, place, m, run FROM ({runs}) WHERE len(run) = m AND n >= {MIN_WORDS}),
+sources AS (SELECT m, run, min({{'d': doc_id, 'place': place}}) AS first FROM runs GROUP BY m, run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + m)) AS place FROM runs JOIN sources USING (m, run) WHERE {{'d': doc_id, 'place': place}} > first),
+texts AS (SELECT raw.doc_id, count(gone.place) AS gone, count(solid.place) AS solid, string_agg(x, chr(10) ORDER BY raw.line) FILTER (gone.place IS NULL) AS rest
+    FROM raw LEFT JOIN solid USING (doc_id, line) LEFT JOIN gone ON gone.doc_id = solid.doc_id AND gone.place = solid.place GROUP BY raw.doc_id)
 SELECT doc_id, coalesce(gone, 0) AS lines_deleted, coalesce(gone > 0 AND gone = solid, false) AS emptied,
     CASE WHEN gone > 0 AND gone = solid THEN '' WHEN gone > 0 THEN rest ELSE text END AS text FROM documents LEFT JOIN texts USING (doc_id)
 """
