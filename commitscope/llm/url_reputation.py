@@ -49,7 +49,7 @@ def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def default_suffixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x, "plain") for x in SUFFIXES2], "suffix string, kind string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, SUFFIXES2))).alias("suffix"), F.lit("plain").alias("kind"))
 
 
 def with_domain(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
