@@ -173,7 +173,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--since")
     p.add_argument("--from", dest="date_from")
     p.add_argument("--to", dest="date_to")
-    p.add_argument("--format", "-f", choices=["table", "json", "csv", "html"], default="table")
+    p.add_argument("--format", "-f", choices=list(writers.WRITERS), default="table")
     p.add_argument("--output", "-o")
     p.add_argument("--top", type=int)
     p.add_argument("--as-of")
@@ -204,10 +204,7 @@ def main(argv: list[str] | None = None) -> int:
         for r, path in zip(reports, writers.csv_paths(a.output, [r.name for r in reports]).values(), strict=True):
             path.write_text(writers.as_csv(r, a.top), encoding="utf-8")
         return 0
-    if a.format == "csv":
-        out = "".join(f"--- {r.name} ---\n{writers.as_csv(r, a.top)}" for r in reports)
-    else:
-        out = {"json": lambda: writers.as_json(reports, a.top), "html": lambda: writers.as_html(reports), "table": lambda: "\n\n".join(writers.as_table(r, a.top) for r in reports)}[a.format]()
+    out = writers.WRITERS[a.format](reports, a.top)
     if a.output:
         Path(a.output).write_text(out, encoding="utf-8")
     else:

@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 
@@ -152,3 +153,21 @@ def write_parquet(reports: dict[str, DataFrame], folder: str) -> None:
     """Each report as a table below ``folder``, written by the executors."""
     for name, df in reports.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+class Writer(Protocol):
+    """Turns reports into one text, at most ``top`` rows of each."""
+
+    def __call__(self, reports: list[Report], top: int | None = None) -> str: ...
+
+
+def _csv(reports: list[Report], top: int | None = None) -> str:
+    return "".join(f"--- {r.name} ---\n{as_csv(r, top)}" for r in reports)
+
+
+def _tables(reports: list[Report], top: int | None = None) -> str:
+    return "\n\n".join(as_table(r, top) for r in reports)
+
+
+#: Writers by the name of their format; a caller's own can be added.
+WRITERS: dict[str, Writer] = {"table": _tables, "json": as_json, "csv": _csv, "html": lambda reports, top=None: as_html(reports)}

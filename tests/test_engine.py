@@ -154,6 +154,15 @@ def test_csv_table_and_html(reports):
     assert writers.text("no_such_code") == "no_such_code" and writers.text("shown", shown=1, total=2).startswith("(1 of 2")
 
 
+def test_writers_by_format(reports, tmp_path):
+    assert set(writers.WRITERS) == {"table", "json", "csv", "html"}
+    assert writers.WRITERS["csv"](reports, 1).startswith("--- churn ---\nname,lines,rate\n") and json.loads(writers.WRITERS["json"](reports, 1))["reports"]
+    assert all(isinstance(w(reports), str) for w in writers.WRITERS.values())
+    (tmp_path / "texts.json").write_text('{"own": "{{n}} rows"}')
+    writers.read_texts(f"{tmp_path}/texts.json")
+    assert writers.text("own", n=3) == "3 rows" and writers.text("title") == "Repository analysis"
+
+
 def test_scores(spark):
     silos = spark.createDataFrame([(f"f{k}", "at_risk") for k in range(10)], "name string, risk string")
     got = {r["name"]: (r.score, r.level) for r in scoring.health({"knowledge_silos": silos}).collect()}
