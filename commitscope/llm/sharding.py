@@ -105,12 +105,16 @@ def _assign(rows: DataFrame, leaves: DataFrame, addr: str, own: tuple[str, ...]
     return each.join(tagged, [*own, "depth", "prefix"]).select(*carry, "shard_id", depth.alias("depth"), "shard_bytes", "shard_docs")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` under ``path`` with one folder a shard (``shard_id=...``); each row once, whatever its id."""
-    row = private(docs, "shard_row")
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Writes ``docs`` under ``path`` with one folder a shard; each row once, whatever its id.
+
+    Returns the name of the folders' column: ``shard_id``, with a trailing underscore where ``docs`` has such a column.
+    """
+    row, name = private(docs, "shard_row"), private(docs, "shard_id")
     rows = staged(docs.withColumn(row, F.monotonically_increasing_id()))
-    dealt = shard(rows, limit, id_col, text_col, row).select(F.col("row").alias(row), F.concat(F.lit("b"), "shard_id").alias("shard_id"))
-    rows.join(dealt, row).drop(row).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    dealt = shard(rows, limit, id_col, text_col, row).select(F.col("row").alias(row), F.concat(F.lit("b"), "shard_id").alias(name))
+    rows.join(dealt, row).drop(row).repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,11 @@ def test_each_row_is_written_once(spark, documents, tmp_path):
     sharding.write_shards(documents(rows), f"{tmp_path}/out", 600)
     back = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert sorted(back, key=str) == sorted(rows, key=str)
+
+
+def test_shards_of_a_table_that_has_a_shard_id(spark, documents, tmp_path):
+    docs = documents([(k, "x" * 100) for k in range(60)], shard_id="mine", shard_row="r")
+    name = sharding.write_shards(docs, f"{tmp_path}/out", 1_500)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert name == "shard_id_" and back.count() == 60 and {r.shard_id for r in back.select("shard_id").collect()} == {"mine"}
+    assert back.select(name).distinct().count() > 2
