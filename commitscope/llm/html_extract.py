@@ -7,18 +7,17 @@ expression (a sibling's first run and its later runs have different ones), so th
 an alignment takes linear time, whatever a page's depth, width or period. An item keeps on how many pages it is, how much
 of it is text and links, and how often each of its texts occurs.
 
-Items and texts on fewer than one page in ``RARE`` are forgotten now and then, so a wrapper has at most ``RARE`` times the
-blocks of a page. A text's share is thereby understated by at most one in ``RARE`` at each of the few levels of merging,
-and rules ask for one half.
-
-A task aligns the pages of its hosts, and partial wrappers are merged by the 64, in the order of their tasks, until a
-host has one: a host with a third of all pages is merged by many tasks, and a retried task gives the same wrapper.
+A task aligns the pages of its hosts and gives its wrappers as rows, one an item and one a text, which Spark sums by host
+and path, or host and text: a host with a third of all pages is counted by many tasks. What a task holds is bounded: beyond ``BLOCKS_HELD`` blocks, items and texts on fewer than one page in ``RARE`` of a host leave
+its wrapper as rows, and the rest too where that is not enough. Sums do not depend on when rows leave, so that nothing is
+forgotten and every count is that of all pages of the host, in whatever order they come.
 
 From the finished wrapper come a host's rules, which decide on every block, inside a marked article as well:
 
 - a text that stands under one path on half of the pages, with at least ``MIN_PAGES`` different main blocks (so that copies
   of one page make no template), is template text and goes;
-- an item of the host that is mostly link text goes wherever the block on the page is mostly links;
+- an item of the host that is mostly link text goes wherever the block on the page is mostly links. The rules list only items
+  whose pages differ in this: for every other item the page alone says what all pages say;
 - the region: marked articles if half of the pages have one, else main elements, else elements named as content;
 - tags and roles of menus, headers, footers, sidebars, forms and the like go. Names of elements are evidence only:
   a name counts if all its words are boilerplate words ("ad", "cookie-notice", "post-comments", not "no-sidebar" or
@@ -34,15 +33,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitscope.llm._common import load, staged
 
-MIN_PAGES, RARE, FAN, HOSTS_HELD, BROADCAST_BYTES = 4, 100, 64, 2_000, 4 << 20
+MIN_PAGES, RARE, BLOCKS_HELD, HOSTS_HELD, BROADCAST_BYTES = 4, 100, 100_000, 2_000, 4 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|</?[a-zA-Z](?:[^>]*\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.S)
@@ -226,8 +225,9 @@ def slots(root: Node) -> list[Slot]:
 
 
 # A wrapper is [pages, pages with a region of each level, items by path], an item
-# [evidence, optional, repeated, pages, characters, link characters, texts], a text [pages, main blocks of MIN_PAGES pages at most].
-EV, OPT, REP, PAGES, CHARS, LINKS, TEXTS = range(7)
+# [evidence, optional, repeated, pages, pages where it is mostly links, characters, link characters, texts], a text
+# [pages, main blocks of MIN_PAGES pages at most].
+EV, OPT, REP, PAGES, LISTS, CHARS, LINKS, TEXTS = range(8)
 LEVELS = (ARTICLE, MAIN, STORY)
 
 
@@ -238,12 +238,15 @@ def expression(found: list[Slot]) -> list:
     for x in found:
         if x.path in items:
             item = items[x.path]
+            item[EV] |= x.ev
             item[REP] = 1
             item[CHARS] += len(x.text)
             item[LINKS] += x.links
         else:
-            item = items[x.path] = [x.ev, 0, 0, 1, len(x.text), x.links, {}]
+            item = items[x.path] = [x.ev, 0, 0, 1, 0, len(x.text), x.links, {}]
         item[TEXTS][x.mark] = [1, [main]]
+    for item in items.values():
+        item[LISTS] = int(2 * item[LINKS] > item[CHARS])
     have = [int(any(x.ev & level and not x.ev & (CHROME | WORDS) for x in found)) for level in LEVELS]
     return [1, have, items]
 
@@ -265,13 +268,13 @@ def align(a: list, b: list) -> list:
                 else:
                     last = path
             order = [*behind.get(None, ()), *(x for path in mine for x in (path, *behind.get(path, ())))]
-            mine = {path: mine[path] if path in mine else [b[2][path][EV], int(a[0] > 0), 0, 0, 0, 0, {}] for path in order}
+            mine = {path: mine[path] if path in mine else [0, int(a[0] > 0), 0, 0, 0, 0, 0, {}] for path in order}
             a[2] = mine
     for path, other in b[2].items():
         item = mine[path]
-        item[OPT] |= other[OPT]
-        item[REP] |= other[REP]
-        for k in (PAGES, CHARS, LINKS):
+        for k in (EV, OPT, REP):
+            item[k] |= other[k]
+        for k in (PAGES, LISTS, CHARS, LINKS):
             item[k] += other[k]
         texts = item[TEXTS]
         for mark, (n, mains) in other[TEXTS].items():
@@ -287,17 +290,23 @@ def align(a: list, b: list) -> list:
 
 
 def prune(wrapper: list) -> list:
-    """Forgets items and texts that are on fewer than one page in RARE."""
-    n = wrapper[0]
+    """Takes items and texts that are on fewer than one page in RARE out of the wrapper; what it took, as a wrapper of no pages."""
+    n, rare = wrapper[0], {}
     if n > RARE:
+        for path, item in wrapper[2].items():
+            if RARE * item[PAGES] < n:
+                rare[path] = item
+            elif few := {mark: t for mark, t in item[TEXTS].items() if RARE * t[0] < n}:
+                item[TEXTS] = {mark: t for mark, t in item[TEXTS].items() if mark not in few}
+                rare[path] = [item[EV], item[OPT], item[REP], 0, 0, 0, 0, few]
         wrapper[2] = {path: item for path, item in wrapper[2].items() if RARE * item[PAGES] >= n}
-        for item in wrapper[2].values():
-            item[TEXTS] = {mark: t for mark, t in item[TEXTS].items() if RARE * t[0] >= n}
-    return wrapper
+    return [0, [0, 0, 0], rare]
 
 
 def rules(wrapper: list) -> dict:
-    """What a host's wrapper says: the region, whether names are void, template texts, and paths of link lists."""
+    """What a host's wrapper says: the region, whether names are void, template texts, and which of the paths that are
+    mostly links on some pages only are so as a whole (links) or not (plain). ``host_rules`` says the same from rows.
+    """
     pages, have, items = wrapper
     level = next((x for x, n in zip(LEVELS, have, strict=True) if 2 * n >= max(1, pages)), 0)
     shown = [x for x in items.values() if not x[EV] & CHROME and (not level or x[EV] & level)]
@@ -309,8 +318,9 @@ def rules(wrapper: list) -> dict:
             held[0] += n
             held[1].update(mains)
     const = [mark for mark, (n, mains) in texts.items() if 2 * n >= pages and len(mains) >= MIN_PAGES]
-    links = [path for path, x in items.items() if 2 * x[LINKS] > x[CHARS]]
-    return {"level": level, "void": 10 * (sum(x[CHARS] for x in shown) - named) < named, "const": sorted(const), "links": sorted(links)}
+    mixed = {path: 2 * x[LINKS] > x[CHARS] for path, x in items.items() if 0 < x[LISTS] < x[PAGES]}
+    void = 10 * (sum(x[CHARS] for x in shown) - named) < named
+    return {"level": level, "void": void, "const": sorted(const), "links": sorted(p for p, yes in mixed.items() if yes), "plain": sorted(p for p, yes in mixed.items() if not yes)}
 
 
 def kept(found: list[Slot], rule: dict) -> list[Slot]:
@@ -321,7 +331,14 @@ def kept(found: list[Slot], rule: dict) -> list[Slot]:
         if level and any(x.ev & level for x in own):
             own = [x for x in own if x.ev & level]
             break
-    return [x for x in own if x.mark not in rule["const"] and not (x.path in rule["links"] and 2 * x.links > len(x.text))]
+    own = [x for x in own if x.mark not in rule["const"]]
+    if not any(x.links for x in own):
+        return own
+    more: dict[int, int] = {}  # by path: by how much twice the link text exceeds the text of the page
+    for x in found:
+        more[x.path] = more.get(x.path, 0) + 2 * x.links - len(x.text)
+    lists = {path for path, n in more.items() if path in rule["links"] or n > 0 and path not in rule["plain"]}
+    return [x for x in own if not (x.path in lists and 2 * x.links > len(x.text))]
 
 
 def extract(page: str, rule: dict | None = None) -> str:
@@ -331,6 +348,7 @@ def extract(page: str, rule: dict | None = None) -> str:
 
 
 def _packed(wrapper: list) -> str:
+    """A whole wrapper as JSON."""
     return json.dumps([wrapper[0], wrapper[1], [[path, *x[:TEXTS], [[m, *t] for m, t in x[TEXTS].items()]] for path, x in wrapper[2].items()]])
 
 
@@ -339,58 +357,64 @@ def _unpacked(text: str) -> list:
     return [pages, have, {path: [*x, {m: [n, mains] for m, n, mains in texts}] for path, *x, texts in items}]
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a task -> one wrapper a host (or several, where the task has very many hosts)."""
-    held: dict[str, list] = {}
-    part, turn = TaskContext.get().partitionId(), 0
+#: Kinds of rows: pages of a host (key 0) and those with a region (key: its level), an item (key: its path), a text (key: its mark).
+HOST, ITEM, TEXT = range(3)
+_FIELDS = "host string, kind int, key long, ev int, pages long, lists long, chars long, links long, mains array<long>"
+
+
+def _long(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _rows(wrappers: list[tuple[str, list]]) -> pa.RecordBatch:
+    """Wrappers of hosts as rows that Spark can sum."""
+    hosts, kinds, keys, counts, mains, ends = [], [], [], [], [], [0]
+    for host, (pages, have, items) in wrappers:
+        before = len(keys)
+        if pages:
+            for key, n in zip((0, *LEVELS), (pages, *have), strict=True):
+                kinds.append(HOST)
+                keys.append(key)
+                counts.append((0, n, 0, 0, 0))
+                ends.append(len(mains))
+        for path, x in items.items():
+            if x[PAGES]:
+                kinds.append(ITEM)
+                keys.append(path)
+                counts.append((x[EV], *x[PAGES:TEXTS]))
+                ends.append(len(mains))
+            for mark, (n, some) in x[TEXTS].items():
+                kinds.append(TEXT)
+                keys.append(mark)
+                counts.append((0, n, 0, 0, 0))
+                mains.extend(some)
+                ends.append(len(mains))
+        hosts.extend([host] * (len(keys) - before))
+    numbers = np.array(counts, np.int64).reshape(-1, 5)
+    columns = [pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), _long(keys), pa.array(numbers[:, 0].astype(np.int32))]
+    columns += [pa.array(np.ascontiguousarray(numbers[:, k])) for k in range(1, 5)]
+    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(mains)))
+    return pa.RecordBatch.from_arrays(columns, names=["host", "kind", "key", "ev", "pages", "lists", "chars", "links", "mains"])
 
-    def out() -> pa.RecordBatch:
-        n = len(held)
-        columns = [pa.array(list(held), pa.string()), pa.array([part] * n, pa.int64()), pa.array([turn] * n, pa.int64()), pa.array([_packed(prune(w)) for w in held.values()], pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["host", "part", "turn", "wrapper"])
 
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a task -> its wrappers as rows; a host, item or text has one row or several."""
+    held: dict[str, list] = {}
+    blocks = 0
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            mine = expression(slots(parse(page)))
+            found = slots(parse(page))
+            mine = expression(found)
             held[host] = align(held[host], mine) if host in held else mine
-            if held[host][0] % RARE == 0:
-                prune(held[host])
-        if len(held) > HOSTS_HELD:
-            yield out()
-            held.clear()
-            turn += 1
-    yield out()
-
-
-def _merge(last: bool):
-    """Partial wrappers sorted by host, group of tasks and order -> one a host and group; ``last``: its rules."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, wrapper = None, None
-        done: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            text = [json.dumps(rules(w)) if last else _packed(w) for _, _, w in done]
-            columns = [pa.array([d[k] for d in done], t) for k, t in ((0, pa.string()), (1, pa.int64()))]
-            got = pa.RecordBatch.from_arrays([*columns, pa.array([0] * len(done), pa.int64()), pa.array(text, pa.string())], names=["host", "part", "turn", "wrapper"])
-            done.clear()
-            return got
-
-        for batch in batches:
-            for host, group, text in zip(*(batch.column(c).to_pylist() for c in ("host", "group", "wrapper")), strict=True):
-                if at != (host, group):
-                    if at is not None:
-                        done.append((*at, prune(wrapper)))
-                    at, wrapper = (host, group), _unpacked(text)
-                else:
-                    wrapper = prune(align(wrapper, _unpacked(text)))
-            if len(done) > HOSTS_HELD:
-                yield out()
-        if at is not None:
-            done.append((*at, prune(wrapper)))
-        yield out()
-
-    return run
+            blocks += len(found)
+            if blocks > BLOCKS_HELD or len(held) > HOSTS_HELD:
+                yield _rows([(x, prune(w)) for x, w in held.items()])
+                blocks = sum(len(x[TEXTS]) for w in held.values() for x in w[2].values())
+                if 2 * blocks > BLOCKS_HELD or len(held) > HOSTS_HELD:
+                    yield _rows(list(held.items()))
+                    held.clear()
+                    blocks = 0
+    yield _rows(list(held.items()))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +426,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known.clear()
             if text not in known:
                 rule = json.loads(text)
-                known[text] = rule | {"const": frozenset(rule["const"]), "links": frozenset(rule["links"])}
+                known[text] = rule | {k: frozenset(x % (1 << 64) for x in rule[k]) for k in ("const", "links", "plain")}
             texts.append(extract(page, known[text]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -414,17 +438,47 @@ def host_of(url: str = "url") -> F.Column:
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """``(host, rule)`` of ``pages(host, html)``: what the wrapper aligned over all pages of the host says, as JSON."""
-    fields = "host string, part long, turn long, wrapper string"
-    found = staged(pages.mapInArrow(_partial, fields))
-    parts = found.agg(F.max("part")).first()[0] or 0
-    while True:
-        grouped = found.withColumn("group", F.floor(F.col("part") / FAN))
-        grouped = grouped.repartition("host", "group").sortWithinPartitions("host", "group", "part", "turn")
-        found = grouped.mapInArrow(_merge(parts < FAN), fields)
-        if parts < FAN:
-            return found.select("host", F.col("wrapper").alias("rule"))
-        parts //= FAN
+    """``(host, rule)`` of ``pages(host, html)``: what ``rules`` says of the wrapper over all pages of the host, as JSON.
+
+    Every count is a sum over all rows. Texts on fewer than ``MIN_PAGES`` pages cannot be template text, and the main blocks
+    are counted for the texts on half of the pages only. Hashes are signed here.
+    """
+    found = staged(pages.mapInArrow(_partial, _FIELDS))
+    sums = [F.sum(c).alias(c) for c in ("pages", "lists", "chars", "links")]
+    counted = found.groupBy("host", "kind", "key").agg(F.bit_or("ev").alias("ev"), *sums)
+    counted = staged(counted.where((F.col("kind") != TEXT) | (F.col("pages") >= MIN_PAGES)))
+
+    def has(bits: int) -> F.Column:
+        return F.col("ev").bitwiseAND(F.lit(bits)) != 0
+
+    def total(of: str, where: F.Column) -> F.Column:
+        return F.coalesce(F.sum(F.when(where, F.col(of))), F.lit(0))
+
+    def at(name: str) -> F.Column:  # the column of the host's level
+        out = F.col(f"{name}0")
+        for x in reversed(LEVELS):
+            out = F.when(2 * F.col(f"have{x}") >= F.greatest(F.lit(1), F.col("have0")), F.col(f"{name}{x}")).otherwise(out)
+        return out
+
+    item = (F.col("kind") == ITEM) & ~has(CHROME)
+    sizes = []
+    for x in (0, *LEVELS):
+        shown = item & has(x) if x else item
+        sizes.append(total("pages", (F.col("kind") == HOST) & (F.col("key") == x)).alias(f"have{x}"))
+        sizes += [total("chars", shown).alias(f"shown{x}"), total("chars", shown & has(WORDS)).alias(f"named{x}"), F.lit(x).alias(f"level{x}")]
+    hosts = counted.where(F.col("kind") != TEXT).groupBy("host").agg(*sizes)
+    hosts = hosts.select("host", F.col("have0").alias("all"), at("level").alias("level"), (10 * (at("shown") - at("named")) < at("named")).alias("void"))
+
+    often = counted.where(F.col("kind") == TEXT).join(hosts, "host").where(2 * F.col("pages") >= F.col("all")).select("host", "key")
+    mains = found.where(F.col("kind") == TEXT).join(often, ["host", "key"], "left_semi").select("host", "key", F.explode("mains").alias("main"))
+    const = mains.distinct().groupBy("host", "key").count().where(F.col("count") >= MIN_PAGES).select("host", "key", F.lit("const").alias("say"))
+    mixed = counted.where((F.col("kind") == ITEM) & (F.col("lists") > 0) & (F.col("lists") < F.col("pages")))
+    mixed = mixed.select("host", "key", F.when(2 * F.col("links") > F.col("chars"), "links").otherwise("plain").alias("say"))
+    names = ("const", "links", "plain")
+    lists = [F.sort_array(F.collect_list(F.when(F.col("say") == x, F.col("key")))).alias(x) for x in names]
+    said = hosts.join(const.union(mixed).groupBy("host").agg(*lists), "host", "left")
+    empty = F.array().cast("array<long>")
+    return said.select("host", F.to_json(F.struct("level", "void", *(F.coalesce(x, empty).alias(x) for x in names))).alias("rule"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -432,7 +486,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null html counts as empty and gives an empty text; null urls share the host ``""``. Repeated rows each give a row.
     An empty table gives no rows; other columns are ignored, whatever their names. The result does not depend on the
-    order of a host's pages, but for the marks that are forgotten as rare.
+    order of a host's pages.
     """
     slim = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")

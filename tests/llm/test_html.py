@@ -193,3 +193,57 @@ def test_own_text_behind_a_long_common_beginning_stays():
     pages = [f"<body><div>Site name {'x' * 300}</div><p>{intro}Own story {k}</p></body>" for k in range(6)]
     rule = h.rules(wrapper_of(pages))
     assert [h.extract(page, rule) for page in pages] == [f"{intro}Own story {k}" for k in range(6)]
+
+
+def test_a_text_that_begins_late_is_counted_on_all_its_pages(spark):
+    """A template text that stands on the later half of a host's pages only, all read by one task."""
+    rows = [(k, f"http://h.example/{k}", f"<body><div><p>Own text number {k} of this page</p></div>{'<div>Join us</div>' * (k >= 10_100)}</body>") for k in range(22_100)]
+    pages = pages_of(spark, rows).coalesce(1).sortWithinPartitions("page_id")
+    got = {r.page_id: r.text for r in h.extract_pages(pages).where("page_id % 50 = 0").collect()}
+    assert got == {k: f"Own text number {k} of this page" for k in range(0, 22_100, 50)}
+
+
+def test_a_link_list_on_few_pages_goes_from_each(spark):
+    """Links under a path that two pages in 400 have: mostly links as a whole, half of the text on one of the two."""
+    rows = [(k, f"http://h.example/{k}", f"<body><div><p>Own text number {k} of this page</p></div></body>") for k in range(400)]
+    for k, more in ((7, "<li>Words that are no link but as long as the others are</li>"), (9, "<li><a href=z>Yet another one of the many links that lead away from here</a></li>")):
+        rows[k] = (k, rows[k][1], rows[k][2].replace("</body>", f"<ul><li>x</li><li><a href=y>A link that leads to some other page</a></li>{more}</ul></body>"))
+    got = {r.page_id: r.text for r in h.extract_pages(pages_of(spark, rows).repartition(3)).collect()}
+    keeps = {7: "\n\nx\n\nWords that are no link but as long as the others are", 9: "\n\nx"}
+    assert got == {k: f"Own text number {k} of this page" + keeps.get(k, "") for k in range(400)}
+
+
+def test_what_leaves_a_wrapper_is_not_lost(monkeypatch):
+    """Rows of a task, added up, are the wrappers of all its pages, however little it may hold."""
+    pages = [(url.split("/")[2], text) for url, text, _ in hosts(5)] * 3 + [("late.example", f"<p>own {k}</p>" + "<p>join us</p>" * (k > 200)) for k in range(400)]
+
+    def added(blocks):
+        monkeypatch.setattr(h, "BLOCKS_HELD", blocks)
+        batch = h.pa.RecordBatch.from_arrays([h.pa.array(c, h.pa.string()) for c in zip(*pages, strict=True)], names=["host", "html"])
+        got = {}
+        for r in (r for b in h._partial(iter([batch])) for r in b.to_pylist()):
+            held = got.setdefault((r["host"], r["kind"], r["key"]), [0, 0, 0, 0, 0, set()])
+            held[0] |= r["ev"]
+            held[1:5] = [x + r[c] for x, c in zip(held[1:5], ("pages", "lists", "chars", "links"), strict=True)]
+            held[5] |= set(r["mains"])
+        return {k: (*v[:5], sorted(v[5]) if len(v[5]) < h.MIN_PAGES else None) for k, v in got.items()}
+
+    whole = added(1 << 30)
+    assert whole[("late.example", h.HOST, 0)][1] == 400 and len(whole) > 1000
+    assert added(10) == added(700) == whole
+
+
+def test_rules_of_rows_are_those_of_one_wrapper(spark):
+    """Rules from the sums of many tasks are those of the wrapper aligned over all pages of the host."""
+    rng = random.Random(9)
+    pages = [(url.split("/")[2], text) for url, text, _ in hosts(6)]
+    for k in range(330):  # rare paths, paths that are link lists on some pages only, texts on about half of the pages
+        rare = f"<div class='r{'x' * (k % 150)}'>{'<a>' * (rng.random() < 0.5)}rare {k % 5}</div>"
+        half = "".join(f"<section class=s{chr(97 + j)}><p>text {j}</p></section>" for j in range(8) if rng.random() < 0.5)
+        role = rng.choice(["<p>in <span role=main>line</span></p>", "<p>out</p>", "<div class=widget>named text</div>"])
+        pages.append(("many.example", f"<body><p>own {rng.randint(0, 250)} text</p>{role}{rare}{half}</body>"))
+    found = h.host_rules(spark.createDataFrame(pages, "host string, html string").repartition(11)).collect()
+    got = {r.host: h.json.loads(r.rule) for r in found}
+    got = {host: rule | {k: sorted(x % 2**64 for x in rule[k]) for k in ("const", "links", "plain")} for host, rule in got.items()}
+    assert len(found) == len(got) == 7 and got["many.example"]["links"] and got["many.example"]["plain"] and got["many.example"]["const"]
+    assert got == {host: h.rules(wrapper_of([text for x, text in pages if x == host])) for host in got}
