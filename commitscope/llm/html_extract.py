@@ -8,8 +8,8 @@ an alignment takes linear time, whatever a page's depth, width or period. An ite
 of it is text and links, and how often each of its texts occurs.
 
 A task aligns the pages of its hosts and gives its wrappers as rows, one an item and one a text, which Spark sums by host
-and path, or host and text: a host with a third of all pages is counted by many tasks. What a task holds is bounded: beyond ``BLOCKS_HELD`` blocks, items and texts on fewer than one page in ``RARE`` of a host leave
-its wrapper as rows, and the rest too where that is not enough. Sums do not depend on when rows leave, so that nothing is
+and path, or host and text: a host with a third of all pages is counted by many tasks. What a task holds is bounded: items and texts on fewer than one page in ``RARE`` of a host leave its wrapper as rows now and
+then, and the rest too beyond ``BLOCKS_HELD`` blocks. Sums do not depend on when rows leave, so that nothing is
 forgotten and every count is that of all pages of the host, in whatever order they come.
 
 From the finished wrapper come a host's rules, which decide on every block, inside a marked article as well:
@@ -17,7 +17,8 @@ From the finished wrapper come a host's rules, which decide on every block, insi
 - a text that stands under one path on half of the pages, with at least ``MIN_PAGES`` different main blocks (so that copies
   of one page make no template), is template text and goes;
 - an item of the host that is mostly link text goes wherever the block on the page is mostly links. The rules list only items
-  whose pages differ in this: for every other item the page alone says what all pages say;
+  whose pages differ in this: for every other item the page alone says what all pages say. Where a host has more than
+  ``RULE_PATHS`` of them, a page is sent those of its own paths only;
 - the region: marked articles if half of the pages have one, else main elements, else elements named as content;
 - tags and roles of menus, headers, footers, sidebars, forms and the like go. Names of elements are evidence only:
   a name counts if all its words are boilerplate words ("ad", "cookie-notice", "post-comments", not "no-sidebar" or
@@ -31,6 +32,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from commitscope.llm._common import load, staged
 
-MIN_PAGES, RARE, BLOCKS_HELD, HOSTS_HELD, BROADCAST_BYTES = 4, 100, 100_000, 2_000, 4 << 20
+MIN_PAGES, RARE, BLOCKS_HELD, HOSTS_HELD, RULE_PATHS, BROADCAST_BYTES = 4, 100, 100_000, 2_000, 2_000, 4 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|</?[a-zA-Z](?:[^>]*\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.S)
@@ -359,6 +361,7 @@ def _unpacked(text: str) -> list:
 
 #: Kinds of rows: pages of a host (key 0) and those with a region (key: its level), an item (key: its path), a text (key: its mark).
 HOST, ITEM, TEXT = range(3)
+_PATHS = ("links", "plain")
 _FIELDS = "host string, kind int, key long, ev int, pages long, lists long, chars long, links long, mains array<long>"
 
 
@@ -400,6 +403,7 @@ def _rows(wrappers: list[tuple[str, list]]) -> pa.RecordBatch:
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages of a task -> its wrappers as rows; a host, item or text has one row or several."""
     held: dict[str, list] = {}
+    gone: list[tuple[str, list]] = []  # what left the wrappers, which stay small, as alignment visits all their items
     blocks = 0
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -407,27 +411,45 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = expression(found)
             held[host] = align(held[host], mine) if host in held else mine
             blocks += len(found)
+            if held[host][0] % RARE == 0:
+                gone.append((host, prune(held[host])))
             if blocks > BLOCKS_HELD or len(held) > HOSTS_HELD:
-                yield _rows([(x, prune(w)) for x, w in held.items()])
+                yield _rows(gone)
+                gone.clear()
                 blocks = sum(len(x[TEXTS]) for w in held.values() for x in w[2].values())
                 if 2 * blocks > BLOCKS_HELD or len(held) > HOSTS_HELD:
                     yield _rows(list(held.items()))
                     held.clear()
                     blocks = 0
-    yield _rows(list(held.items()))
+    yield _rows([*gone, *held.items()])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (host, page, html) -> (host, page, key): the paths under which a block of the page is mostly links."""
+    for batch in batches:
+        rows, keys = [], []
+        for k, page in enumerate(batch.column("html").to_pylist()):
+            paths = {x.path for x in slots(parse(page)) if 2 * x.links > len(x.text)}
+            rows.extend([k] * len(paths))
+            keys.extend(paths)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("page").take(at), _long(keys)], names=["host", "page", "key"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, dict] = {}
     for batch in batches:
         texts = []
-        for page, text in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist(), strict=True):
+        # a page of a wide host brings the paths that its rule leaves out
+        own = zip(*(batch.column(c).to_pylist() for c in _PATHS), strict=True) if _PATHS[0] in batch.schema.names else repeat((None, None), batch.num_rows)
+        for page, text, paths in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist(), own, strict=True):
             if len(known) > HOSTS_HELD:
                 known.clear()
             if text not in known:
                 rule = json.loads(text)
                 known[text] = rule | {k: frozenset(x % (1 << 64) for x in rule[k]) for k in ("const", "links", "plain")}
-            texts.append(extract(page, known[text]))
+            more = {k: frozenset(x % (1 << 64) for x in some) for k, some in zip(_PATHS, paths, strict=True) if some}
+            texts.append(extract(page, known[text] | more if more else known[text]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -437,8 +459,9 @@ def host_of(url: str = "url") -> F.Column:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def host_rules(pages: DataFrame) -> DataFrame:
-    """``(host, rule)`` of ``pages(host, html)``: what ``rules`` says of the wrapper over all pages of the host, as JSON.
+def _said(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(host, level, void)`` and ``(host, key, say)`` of ``pages(host, html)``: what ``rules`` says of the wrapper over all
+    pages of a host, one row a text or path that it lists.
 
     Every count is a sum over all rows. Texts on fewer than ``MIN_PAGES`` pages cannot be template text, and the main blocks
     are counted for the texts on half of the pages only. Hashes are signed here.
@@ -474,11 +497,23 @@ def host_rules(pages: DataFrame) -> DataFrame:
     const = mains.distinct().groupBy("host", "key").count().where(F.col("count") >= MIN_PAGES).select("host", "key", F.lit("const").alias("say"))
     mixed = counted.where((F.col("kind") == ITEM) & (F.col("lists") > 0) & (F.col("lists") < F.col("pages")))
     mixed = mixed.select("host", "key", F.when(2 * F.col("links") > F.col("chars"), "links").otherwise("plain").alias("say"))
-    names = ("const", "links", "plain")
-    lists = [F.sort_array(F.collect_list(F.when(F.col("say") == x, F.col("key")))).alias(x) for x in names]
-    said = hosts.join(const.union(mixed).groupBy("host").agg(*lists), "host", "left")
+    return hosts, const.union(mixed)
+
+
+def _paths_of(say: str) -> F.Column:
+    return F.sort_array(F.collect_list(F.when(F.col("say") == say, F.col("key")))).alias(say)
+
+
+def _as_rules(hosts: DataFrame, said: DataFrame) -> DataFrame:
+    names = ("const", *_PATHS)
+    whole = hosts.join(said.groupBy("host").agg(*(_paths_of(x) for x in names)), "host", "left")
     empty = F.array().cast("array<long>")
-    return said.select("host", F.to_json(F.struct("level", "void", *(F.coalesce(x, empty).alias(x) for x in names))).alias("rule"))
+    return whole.select("host", F.to_json(F.struct("level", "void", *(F.coalesce(x, empty).alias(x) for x in names))).alias("rule"))
+
+
+def host_rules(pages: DataFrame) -> DataFrame:
+    """``(host, rule)`` of ``pages(host, html)``: what ``rules`` says of the wrapper over all pages of the host, as JSON."""
+    return _as_rules(*_said(pages))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -491,12 +526,25 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     slim = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     ).withColumn("host", host_of())
-    found = staged(host_rules(slim.select("host", "html")))
+    hosts, said = _said(slim.select("host", "html"))
+    said = staged(said)
+    mixed = said.where(F.col("say") != "const")
+    wide = staged(mixed.groupBy("host").count().where(F.col("count") > RULE_PATHS).select("host"))
+    some = not wide.isEmpty()
+    if some:
+        said = said.where(F.col("say") == "const").union(mixed.join(wide, "host", "left_anti"))
+    found = staged(_as_rules(hosts, said))
     size = found.agg(F.sum(F.length("rule") + F.length("host"))).first()[0] or 0
     # the rules of all hosts go to every executor only if they are known to be small; else the join shuffles by host
     side = F.broadcast(found) if size <= BROADCAST_BYTES else found
     kind = slim.schema["page_id"].dataType.simpleString()
-    joined = slim.join(side, "host").select("page_id", "url", "html", "rule")
+    joined = slim.join(side, "host")
+    if some:  # equal pages have equal paths, and a path more, should hashes meet, does no harm
+        joined = joined.withColumn("page", F.xxhash64("html"))
+        own = joined.join(wide, "host", "left_semi").select("host", "page", "html").mapInArrow(_listed, "host string, page long, key long")
+        own = own.distinct().join(mixed, ["host", "key"]).groupBy("host", "page").agg(*(_paths_of(x) for x in _PATHS))
+        joined = joined.join(own, ["host", "page"], "left")
+    joined = joined.select("page_id", "url", "html", "rule", *(_PATHS if some else ()))
     return joined.mapInArrow(_apply, f"page_id {kind}, url string, text string")
 
 

@@ -247,3 +247,23 @@ def test_rules_of_rows_are_those_of_one_wrapper(spark):
     got = {host: rule | {k: sorted(x % 2**64 for x in rule[k]) for k in ("const", "links", "plain")} for host, rule in got.items()}
     assert len(found) == len(got) == 7 and got["many.example"]["links"] and got["many.example"]["plain"] and got["many.example"]["const"]
     assert got == {host: h.rules(wrapper_of([text for x, text in pages if x == host])) for host in got}
+
+
+def test_pages_of_a_host_with_many_mixed_paths(spark, monkeypatch):
+    """Where a host's paths are too many to go with every page, each page is judged as by the whole rule."""
+    rng = random.Random(3)
+    rows = [(k, f"http://few.example/{k}", f"<body><p>own {k}</p><p>join us</p></body>") for k in range(20)]
+    for k in range(20, 320):
+        some = [rng.randint(0, 60) for _ in range(4)]
+        lists = "".join(f"<div class='r{'x' * n}'><a>to {k}</a>{' and some more' * (rng.random() < (0.7 if n < 30 else 0.2))}</div>" for n in some)
+        rows.append((k, f"http://many.example/{k}", f"<body><p>own {k}</p><p>join us</p>{lists}</body>"))
+    rows += [(k + 1000, url, text) for k, url, text in rows[20:60]]
+    want = {}
+    for host in ("few", "many"):
+        mine = [r for r in rows if host in r[1]]
+        rule = h.rules(wrapper_of([r[2] for r in mine]))
+        want |= {k: h.extract(text, rule) for k, _, text in mine}
+    assert len(rule["links"]) > 5 and len(rule["plain"]) > 5
+    monkeypatch.setattr(h, "RULE_PATHS", 10)
+    got = h.extract_pages(pages_of(spark, rows).repartition(4)).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
