@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from commitscope.operators import structure
 from commitscope.plans import tree
 
 
@@ -27,3 +28,11 @@ def test_clones_parse_every_file_once(spark):
     assert "MapInPandas" not in out._jdf.queryExecution().toString()  # parsed already, into the shared folder
     (row,) = out.collect()
     assert row.occurrences == 64 and row.other_locations.count(" | ") == 62 and row.name == "src/m0.py::f0:1"
+
+
+def test_complexity_deals_its_files_and_measures_as_before(spark):
+    assert "REPARTITION_BY_NUM" in tree.complexity(few_splits(spark))._jdf.queryExecution().toString()
+    text = "@d(lambda: 0)\ndef f(a, *, b=(lambda x: x if x else 0)):\n    if a:\n        return 1\n    elif b:\n        return [y for y in a if y]\n    def g():\n        pass\n    return g\n"
+    (f,) = (i for i in structure.items("a.py", text) if i.name == "f")
+    assert (f.params, f.cyclomatic, f.cognitive, f.exits) == (3, 3, 3, 3)
+    assert f.skeleton.count("(If(Name(Load))(Return") == 2 and f.skeleton.count("<fn>") == 2
