@@ -36,3 +36,11 @@ def test_complexity_deals_its_files_and_measures_as_before(spark):
     (f,) = (i for i in structure.items("a.py", text) if i.name == "f")
     assert (f.params, f.cyclomatic, f.cognitive, f.exits) == (3, 3, 3, 3)
     assert f.skeleton.count("(If(Name(Load))(Return") == 2 and f.skeleton.count("<fn>") == 2
+
+
+def test_documentation_is_told_without_measures_and_in_many_tasks(spark, monkeypatch):
+    assert "REPARTITION_BY_NUM" in tree.doc_coverage(few_splits(spark), least=1)._jdf.queryExecution().toString()
+    monkeypatch.setattr(structure, "_tokens", None)
+    monkeypatch.setattr(structure, "_measure", None)
+    assert structure.documented("a.py", 'def f():\n    "doc"\n\n\nclass A:\n    def g(self):\n        return 1\n') == (3, 1)
+    assert structure.documented("a.rs", "/// doc\npub fn f() {}\n") == (1, 1)
