@@ -44,3 +44,11 @@ def test_documentation_is_told_without_measures_and_in_many_tasks(spark, monkeyp
     monkeypatch.setattr(structure, "_measure", None)
     assert structure.documented("a.py", 'def f():\n    "doc"\n\n\nclass A:\n    def g(self):\n        return 1\n') == (3, 1)
     assert structure.documented("a.rs", "/// doc\npub fn f() {}\n") == (1, 1)
+
+
+def test_constructs_are_listed_without_measures_and_in_many_tasks(spark, monkeypatch):
+    files = few_splits(spark)
+    assert tasks_of(tree.constructs(files)) > 1 and tree.constructs(files).count() == 64
+    monkeypatch.setattr(structure, "_tokens", None)
+    (item,) = structure.items("a.py", "def f(a):\n    return a\n", measured=False)
+    assert (item.qualified, item.kind, item.start, item.end, item.params) == ("f", "function", 1, 2, 1)
