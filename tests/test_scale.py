@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from commitscope.operators import structure
-from commitscope.plans import tree
+from commitscope.plans import catalog, tree
+from commitscope.sources import synthetic
 
 
 def few_splits(spark, n=64):
@@ -52,3 +53,22 @@ def test_constructs_are_listed_without_measures_and_in_many_tasks(spark, monkeyp
     monkeypatch.setattr(structure, "_tokens", None)
     (item,) = structure.items("a.py", "def f(a):\n    return a\n", measured=False)
     assert (item.qualified, item.kind, item.start, item.end, item.params) == ("f", "function", 1, 2, 1)
+
+
+def test_changes_as_planned_are_those_of_the_sql(spark, data):
+    names = [*synthetic._TABLES["changes_mix"].split()]
+    for t in names:
+        df = spark.read.parquet(f"{data}/{t}.parquet")
+        if t == "orders":  # an order that is there twice, with another priority, and one without any
+            df = df.unionByName(df.limit(40).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.lit("other"))))
+        df.createOrReplaceTempView(t)
+    for name in ("changes_mix", "changes_basket"):
+        sums, columns = synthetic.PLANS[name]
+        want, got = spark.sql(synthetic.VIEWS[name]), spark.sql(sums).selectExpr(*columns)
+        assert got.schema == want.schema
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_reports_over_constructs_build_the_changes_once(spark, data):
+    for name in ("hotspots", "construct_churn", "construct_ownership"):
+        assert "lineitem" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
