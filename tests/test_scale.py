@@ -69,6 +69,14 @@ def test_changes_as_planned_are_those_of_the_sql(spark, data):
         assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_changes_of_larger_tables_are_dealt_over_more_tasks(spark, data, monkeypatch):
+    few = synthetic.view(spark, data, "changes_mix")
+    want = few.collect()
+    monkeypatch.setattr(synthetic, "TASK_BYTES", 1 << 13)
+    many = synthetic.view(spark, data, "changes_mix")
+    assert tasks_of(many) > 2 * tasks_of(few) and sorted(map(str, many.collect())) == sorted(map(str, want))
+
+
 def test_reports_over_constructs_build_the_changes_once(spark, data):
     for name in ("hotspots", "construct_churn", "construct_ownership"):
         assert "lineitem" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
