@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from commitscope import cluster
 from commitscope.operators import structure
 from commitscope.plans import catalog, tree
 from commitscope.sources import synthetic
@@ -80,3 +81,15 @@ def test_changes_of_larger_tables_are_dealt_over_more_tasks(spark, data, monkeyp
 def test_reports_over_constructs_build_the_changes_once(spark, data):
     for name in ("hotspots", "construct_churn", "construct_ownership"):
         assert "lineitem" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ancestors_hold_no_lists_and_find_all(spark, monkeypatch):
+    kept = []
+    for name in ("cut", "stage"):
+        plain = getattr(cluster, name)
+        monkeypatch.setattr(cluster, name, lambda df, plain=plain: kept.append(df.dtypes) or plain(df))
+    # two chains of 100 and 70 commits that meet in a merge over a third of 30
+    rows = [(k, k + 1) for k in range(99)] + [(99, 300)] + [(k, k + 1) for k in range(100, 169)] + [(169, 300), (300, 400), (300, 301)] + [(k, k + 1) for k in range(301, 330)] + [(500, 501)]
+    got = tree.ancestors(spark.createDataFrame(rows, "oid long, parent long"), spark.createDataFrame([(0,), (100,)], "oid long"))
+    assert sorted(r.oid for r in got.collect()) == [*range(170), *range(300, 331), 400]
+    assert not any(kind.startswith("array") for types in kept for _, kind in types)
