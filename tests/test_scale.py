@@ -73,7 +73,7 @@ def test_changes_as_planned_are_those_of_the_sql(spark, data):
 def test_changes_of_larger_tables_are_dealt_over_more_tasks(spark, data, monkeypatch):
     few = synthetic.view(spark, data, "changes_mix")
     want = few.collect()
-    monkeypatch.setattr(synthetic, "TASK_BYTES", 1 << 13)
+    monkeypatch.setattr(synthetic, "TASK_BYTES", 1 << 12)
     many = synthetic.view(spark, data, "changes_mix")
     assert tasks_of(many) > 2 * tasks_of(few) and sorted(map(str, many.collect())) == sorted(map(str, want))
 
@@ -93,3 +93,10 @@ def test_ancestors_hold_no_lists_and_find_all(spark, monkeypatch):
     got = tree.ancestors(spark.createDataFrame(rows, "oid long, parent long"), spark.createDataFrame([(0,), (100,)], "oid long"))
     assert sorted(r.oid for r in got.collect()) == [*range(170), *range(300, 331), 400]
     assert not any(kind.startswith("array") for types in kept for _, kind in types)
+
+
+def test_health_deals_its_files_over_tasks(spark, data):
+    reports = catalog._reports(spark, data)
+    for name in ("complexity", "large_sources", "debt_markers", "composition", "fan_in_out"):
+        assert "REPARTITION_BY_NUM" in reports[name]._jdf.queryExecution().toString(), name
+    assert not synthetic._held
